@@ -59,14 +59,14 @@ def right_clip_length(cigar: Column) -> Column:
     return _clip(cigar, -1)
 
 
-def left_clip_sequence(cigar: Column, seq: Column) -> Column:
-    n = left_clip_length(cigar)
-    return F.when((n > 0) & (F.length(seq) > 0), F.substring(seq, F.lit(1), n)).otherwise("")
+def left_clip_text(cigar: Column) -> Column:
+    """Left clip length straight from CIGAR text."""
+    return F.regexp_extract(cigar, "^([0-9]+)S", 1).try_cast("int")
 
 
-def right_clip_sequence(cigar: Column, seq: Column) -> Column:
-    n = right_clip_length(cigar)
-    return F.when((n > 0) & (F.length(seq) > 0), F.right(seq, n)).otherwise("")
+def right_clip_text(cigar: Column) -> Column:
+    """Right clip length straight from CIGAR text."""
+    return F.regexp_extract(cigar, "([0-9]+)S$", 1).try_cast("int")
 
 
 def splice_boundaries(cigar: Column, ref_start: Column) -> Column:

@@ -24,19 +24,13 @@ def longest_run(seq: Column, base: str) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0))
 
 
-def all_windows(seq: Column, k: int) -> Column:
-    """Every substring of length ``k`` as an array, empty for shorter input."""
-    return F.when(
-        F.length(seq) >= k,
-        F.transform(
-            F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def kmers(seq: Column, k: int) -> Column:
-    """The k-mers of ``seq`` made of A, T, G and C only, as an array."""
-    return F.filter(all_windows(seq, k), lambda w: w.rlike("^[ATGC]+$"))
+    """The k-mers of ``seq`` made of A, T, G and C only, as an array.
+
+    A look-ahead match consumes nothing, so overlapping words are found in one pass
+    over the text.
+    """
+    return F.regexp_extract_all(seq, F.lit(f"(?=([ATGC]{{{k}}}))"), F.lit(1))
 
 
 def reverse_complement(seq: Column) -> Column:

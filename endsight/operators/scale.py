@@ -1,6 +1,7 @@
 """Helpers that keep joins and ordered scans distributed whatever the key distribution.
 
-``salt_hot_keys``   split join keys that hold too many rows
+``skew_join``       equi-join in which one key may dominate the larger side
+``salt_hot_keys``   explicit splitting of such keys
 ``overlap_join``    points against intervals, bounded replication on both sides
 ``ordered_scan``    running sums and neighbours over a global order, no single-task window
 ``cut_lineage``     reliable checkpoint in the cluster's shared folder
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 ROWS_PER_SLICE = 2_000_000
 # Upper bound on the pieces of one key; pieces grow beyond ROWS_PER_SLICE after that.
 MAX_SLICES = 1_024
-# Width of the finest interval level and the growth factor between levels.
-BASE_BIN = 1_024
-LEVEL_FACTOR = 4
+# Interval levels: bits of the finest bin, bits added per level, number of levels.
+BASE_BITS = 10
+LEVEL_BITS = 2
 LEVELS = 8
 
 
@@ -42,67 +43,57 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _engine_splits_skew(df: DataFrame) -> bool:
+    conf = df.sparkSession.conf
+    return all(
+        conf.get(name, "true").lower() == "true"
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    )
+
+
 def salt_hot_keys(
-    big: DataFrame,
-    small: DataFrame,
-    keys: Sequence[str],
-    *,
-    sizes_of: DataFrame | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    big: DataFrame, small: DataFrame, keys: Sequence[str], *, rows_per_slice: int = ROWS_PER_SLICE
 ) -> tuple[DataFrame, DataFrame]:
     """Add a ``_slice`` column so that both sides can be joined on ``keys + [_slice]``.
 
     Rows of ``big`` under a hot key are spread over ``n`` slices by a hash of the
     row; rows of ``small`` under that key are repeated ``n`` times.  All other rows
     keep slice 0.  The list of hot keys is broadcast: it has at most
-    ``rows(big) / rows_per_slice`` entries, because every entry stands for at least
-    ``rows_per_slice`` rows.  ``sizes_of`` may name a cheaper frame with the same
-    key counts (for example a column-pruned scan).
+    ``rows(big) / rows_per_slice`` entries, because every entry stands for more than
+    ``rows_per_slice`` rows.
     """
-    counts = (sizes_of if sizes_of is not None else big).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
     hot = F.broadcast(
-        counts.where(F.col("_rows") > rows_per_slice).select(
-            *keys,
-            F.least(F.ceil(F.col("_rows") / rows_per_slice), F.lit(MAX_SLICES))
-            .cast("int")
-            .alias("_slices"),
-        )
+        big.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(f"_rows > {rows_per_slice}")
+        .selectExpr(*keys, f"int(least(ceil(_rows / {rows_per_slice}), {MAX_SLICES})) as _slices")
     )
+    hashed = F.xxhash64(*big.columns)
     salted = (
         big.join(hot, list(keys), "left")
-        .withColumn(
-            "_slice",
-            F.when(
-                F.col("_slices").isNotNull(),
-                F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.col("_slices")).cast("int"),
-            ).otherwise(F.lit(0)),
-        )
-        .drop("_slices")
+        .withColumn("_hash", hashed)
+        .selectExpr(*big.columns, "int(coalesce(pmod(_hash, _slices), 0)) as _slice")
     )
-    repeated = (
-        small.join(hot, list(keys), "left")
-        .withColumn(
-            "_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
-        )
-        .drop("_slices")
+    repeated = small.join(hot, list(keys), "left").selectExpr(
+        *small.columns, "explode(sequence(0, coalesce(_slices, 1) - 1)) as _slice"
     )
     return salted, repeated
 
 
-def _level(span: Column) -> Column:
-    """Finest level whose bin width is at least ``span``; the last level takes the rest."""
-    level = F.lit(LEVELS - 1)
-    for i in range(LEVELS - 2, -1, -1):
-        level = F.when(span <= BASE_BIN * LEVEL_FACTOR**i, F.lit(i)).otherwise(level)
-    return level
-
+def skew_join(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join in which one key may hold a large share of ``big``.
 
-def _width(level: Column) -> Column:
-    return F.lit(BASE_BIN).cast("bigint") * F.element_at(
-        F.array(*[F.lit(LEVEL_FACTOR**i) for i in range(LEVELS)]), level + 1
-    )
+    With adaptive skew-join handling on (Spark's default) the engine cuts oversized
+    partitions of ``big`` and repeats the matching ones of ``small`` at run time, at no
+    cost when nothing is skewed.  Where that is switched off, hot keys are salted.
+    ``how`` is ``inner`` or ``left``; ``small`` must fit the key's share in one task.
+    """
+    if _engine_splits_skew(big):
+        return big.join(small, list(keys), how)
+    salted, repeated = salt_hot_keys(big, small, keys)
+    return salted.join(repeated, [*keys, "_slice"], how).drop("_slice")
 
 
 def overlap_join(
@@ -111,48 +102,38 @@ def overlap_join(
     *,
     on: Sequence[str],
     point: str,
-    low: Column,
-    high: Column,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    low: str,
+    high: str,
 ) -> DataFrame:
     """Inner join of ``points`` with ``spans`` where ``low <= point <= high``.
 
-    ``low`` and ``high`` are expressions over ``spans``.  A span lives on the level
-    whose bins are at least as wide as itself, so it touches at most two bins (only
-    spans wider than the last level's bins touch more, and those are replicated
-    exactly as often as needed).  A point is placed once per level.  The equi-join
-    key is (``on``, level, bin); the residual range test makes the result exact and,
-    as a point has one bin per level, every pair appears once.  Bins holding more
-    than ``rows_per_slice`` spans are split.
+    ``low`` and ``high`` are SQL expressions over ``spans``.  A span lives on the
+    finest level whose bins are at least as wide as itself, so it touches at most two
+    bins; only spans wider than the last level's bins touch more, and they are
+    repeated exactly as often as needed.  A point is placed once per level.  The
+    equi-join key is (``on``, level, bin); the residual range test makes the result
+    exact, and as a point has one bin per level, every pair appears once.
     """
-
-    def place(df: DataFrame) -> DataFrame:
-        leveled = df.withColumns({"_low": low, "_high": high}).withColumn(
-            "_level", _level(F.col("_high") - F.col("_low") + 1)
-        )
-        width = _width(F.col("_level"))
-        return leveled.withColumn(
-            "_bin",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("_low") / width).cast("bigint"),
-                    F.floor(F.col("_high") / width).cast("bigint"),
-                )
-            ),
+    # bins are powers of two: level i has width 2^(BASE_BITS + LEVEL_BITS * i)
+    steps = " ".join(
+        f"when _high - _low < {1 << (BASE_BITS + LEVEL_BITS * i)} then {i}" for i in range(LEVELS - 1)
+    )
+    shift = f"{BASE_BITS} + {LEVEL_BITS} * _level"
+    placed_spans = (
+        spans.selectExpr("*", f"{low} as _low", f"{high} as _high")
+        .selectExpr("*", f"case {steps} else {LEVELS - 1} end as _level")
+        .selectExpr(
+            "*",
+            f"explode(sequence(shiftright(_low, {shift}), shiftright(_high, {shift}))) as _bin",
         )
-
-    placed_points = points.withColumn(
-        "_level", F.explode(F.array(*[F.lit(i) for i in range(LEVELS)]))
-    ).withColumn("_bin", F.floor(F.col(point) / _width(F.col("_level"))).cast("bigint"))
-    keys = [*on, "_level", "_bin"]
-    placed_spans = place(spans)
-    salted, repeated = salt_hot_keys(
-        placed_spans, placed_points, keys, rows_per_slice=rows_per_slice
     )
-    joined = repeated.join(salted, [*keys, "_slice"], "inner")
-    return joined.where(F.col(point).between(F.col("_low"), F.col("_high"))).drop(
-        "_level", "_bin", "_slice", "_low", "_high"
+    levels = ", ".join(str(i) for i in range(LEVELS))
+    placed_points = points.selectExpr("*", f"explode(array({levels})) as _level").selectExpr(
+        "*", f"shiftright({point}, {shift}) as _bin"
     )
+    keys = [*on, "_level", "_bin"]
+    joined = skew_join(placed_spans, placed_points, keys, "inner")
+    return joined.where(f"{point} between _low and _high").drop("_level", "_bin", "_low", "_high")
 
 
 def ordered_scan(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from endsight.functions.contigs import normalize_chrom
-from endsight.operators.scale import salt_hot_keys
+from endsight.operators.scale import skew_join
 
 # Default label tolerance and the id prefix of transcripts added to a reference.
 LABEL_TOLERANCE = 50
@@ -139,8 +139,7 @@ def proximity_label(
     never multiplies rows; bins with very many sites are split.
     """
     keyed = _with_label_keys(sites)
-    big, small = salt_hot_keys(keyed, _binned_reference(reference, tolerance), _LABEL_KEYS)
-    joined = big.join(small, [*_LABEL_KEYS, "_slice"], "left")
+    joined = skew_join(keyed, _binned_reference(reference, tolerance), _LABEL_KEYS)
     near = F.exists("_refs", lambda r: F.abs(r - F.col("position")) <= tolerance)
     return joined.select(*sites.columns, F.coalesce(near, F.lit(False)).cast("int").alias(label))
 
@@ -207,8 +206,7 @@ def nearest_reference(
         .over(along.rowsBetween(1, Window.unboundedFollowing))
         .alias("_above"),
     )
-    big, small = salt_hot_keys(keyed, frame, [*keys, "_bin"])
-    joined = big.join(small, [*keys, "_bin", "_slice"], "left")
+    joined = skew_join(keyed, frame, [*keys, "_bin"])
     choices = F.concat(
         F.coalesce("_refs", F.array().cast("array<struct<pos:bigint,ord:bigint>>")),
         F.array("_below", "_above"),

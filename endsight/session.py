@@ -27,7 +27,9 @@ def local_session(app: str = "endsight", cores: int | str | None = None) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
     )
