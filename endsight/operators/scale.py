@@ -185,7 +185,7 @@ def ordered_scan(
         *keys,
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(whole).alias(f"all_{n}") for n in sums],
-        *[F.lag(f"_e_{n}").over(over_blocks)[f"_p_{n}"].alias(f"_c_{n}") for n in previous],
+        *[F.lag(f"_e_{n}").over(over_blocks)[f"_p_{n}"].alias(f"_b_{n}") for n in previous],
     )
     joined = local.join(carried, ["_block", *keys], "left")
     return joined.select(
@@ -193,7 +193,7 @@ def ordered_scan(
         *[(F.col(f"_r_{n}") + F.col(f"_c_{n}")).alias(f"run_{n}") for n in sums],
         *[F.col(f"all_{n}") for n in sums],
         *[
-            F.when(F.col("_rn") == 1, F.col(f"_c_{n}")).otherwise(F.col(f"_l_{n}")).alias(f"prev_{n}")
+            F.when(F.col("_rn") == 1, F.col(f"_b_{n}")).otherwise(F.col(f"_l_{n}")).alias(f"prev_{n}")
             for n in previous
         ],
     )

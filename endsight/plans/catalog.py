@@ -35,6 +35,8 @@ def r6(column: Column | str) -> Column:
 def load() -> None:
     """Import the modules that register queries."""
     from endsight.plans import (  # noqa: F401
+        catalog_annotation,
         catalog_features,
         catalog_sites,
+        catalog_transcripts,
     )
