@@ -36,6 +36,7 @@ def load() -> None:
     """Import the modules that register queries."""
     from endsight.plans import (  # noqa: F401
         catalog_annotation,
+        catalog_compare,
         catalog_features,
         catalog_sites,
         catalog_transcripts,

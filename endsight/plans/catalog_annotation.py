@@ -19,7 +19,7 @@ select cast(substr(transcript_id, 4) as bigint) * 100 as line_no,
        concat_ws(chr(9), chrom, 'asm', 'transcript', cast(tx_start as string), cast(tx_end as string), '.', strand, '.',
          concat('gene_id "', gene_id, '"; transcript_id "', transcript_id, '"; ',
                 case cast(substr(transcript_id, 4) as bigint) % 3 when 0 then concat('cov "', cast(cast(floor(coverage) as bigint) as string), '.5";')
-                     when 1 then concat('coverage "', cast(round(coverage, 2) as string), '"; note "a"') else 'note "b"' end)) as value
+                     when 1 then concat('coverage "', cast(cast(floor(coverage) as bigint) as string), '.5"; note "a"') else 'note "b"' end)) as value
 from v_tx
 union all
 select cast(substr(transcript_id, 4) as bigint) * 100 + 1 + cast((exon_start - 2000) % 97 as bigint), 
