@@ -11,11 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from endsight.operators.scale import ordered_scan
+from endsight.operators.ranking import quantiles
+from endsight.operators.scale import ordered_scan, skew_join
 
 # Bounds of the effect-size classes and the family-wise error rate.
 EFFECT_BOUNDS = ((0.2, "negligible"), (0.5, "small"), (0.8, "medium"))
 ALPHA = 0.05
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
 def effect_size(d: Column) -> Column:
@@ -34,12 +36,17 @@ def distributions(long: DataFrame) -> DataFrame:
             F.expr(f"count({v}) as n{c}"),
             F.expr(f"avg({v}) as mean{c}"),
             F.expr(f"stddev_samp({v}) as std{c}"),
-            F.expr(f"percentile({v}, 0.25) as q25_{c}"),
-            F.expr(f"percentile({v}, 0.5) as median{c}"),
-            F.expr(f"percentile({v}, 0.75) as q75_{c}"),
         ]
 
-    stats = long.groupBy("feature").agg(*side(0), *side(1))
+    cuts = quantiles(long, by=["feature", "cohort"], value="value", names=QUARTILES)
+    spread = cuts.groupBy("feature").agg(
+        *[
+            F.expr(f"max(if(cohort = {c}, {q}, null)) as {q if q == 'median' else q + '_'}{c}")
+            for c in (0, 1)
+            for q in QUARTILES
+        ]
+    )
+    stats = long.groupBy("feature").agg(*side(0), *side(1)).join(spread, "feature")
     pooled = "sqrt(((n0 - 1) * std0 * std0 + (n1 - 1) * std1 * std1) / (n0 + n1 - 2))"
     with_d = stats.where("n0 > 1 and n1 > 1").selectExpr(
         "*", f"coalesce(try_divide(mean0 - mean1, {pooled}), 0D) as cohens_d"
@@ -120,26 +127,28 @@ def compare_signal_to_noise(first: DataFrame, second: DataFrame) -> DataFrame:
 def coverage_impact(rows: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Moments and quartile cut points of the sum of some columns, per cohort."""
     total = rows.withColumn("_c", sum((F.col(c) for c in columns[1:]), F.col(columns[0])))
-    return total.groupBy(*by).agg(
-        F.expr("avg(_c) as mean"), F.expr("percentile(_c, 0.5) as median"), F.expr("stddev_samp(_c) as std"),
-        F.expr("min(_c) as min"), F.expr("max(_c) as max"),
-        F.expr("percentile(_c, 0.25) as q25"), F.expr("percentile(_c, 0.75) as q75"),
-    )
+    moments = total.groupBy(*by).agg(
+        F.expr("avg(_c) as mean"),
+        F.expr("stddev_samp(_c) as std"),
+        F.expr("min(_c) as min"),
+        F.expr("max(_c) as max"),
+    )
+    return moments.join(quantiles(total, by=by, value="_c", names=QUARTILES), list(by))
 
 
 def quartile_bins(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartile class of each value by the exact cut points of its cohort."""
-    cuts = rows.groupBy(*by).agg(F.expr(f"percentile({value}, array(0.25, 0.5, 0.75)) as _q"))
+    cuts = quantiles(rows, by=by, value=value, names=QUARTILES)
     return (
-        rows.join(cuts, list(by))
+        skew_join(rows, cuts, by, "inner")
         .withColumn(
             "bin",
             F.expr(
-                f"case when {value} <= _q[0] then 'low' when {value} <= _q[1] then 'medium_low'"
-                f" when {value} <= _q[2] then 'medium_high' else 'high' end"
+                f"case when {value} <= q25 then 'low' when {value} <= median then 'medium_low'"
+                f" when {value} <= q75 then 'medium_high' else 'high' end"
             ),
         )
-        .drop("_q")
+        .drop(*QUARTILES)
     )
 
 

@@ -38,6 +38,7 @@ def load() -> None:
         catalog_annotation,
         catalog_compare,
         catalog_features,
+        catalog_more,
         catalog_sites,
         catalog_transcripts,
     )
