@@ -171,7 +171,7 @@ DERIVED = {
 
 
 # Decimal places per column: quotients of decimal prices end in ties at six places.
-PLACES = {"coverage_per_exon": 9, "coverage_length_ratio": 10, "confidence_coverage_interaction": 4}
+PLACES = {"coverage_per_exon": 9, "coverage_length_ratio": 10, "confidence_coverage_interaction": 11}
 
 
 @query(
