@@ -164,12 +164,13 @@ def degradation_compare(long: DataFrame) -> DataFrame:
 def bonferroni(pvalues: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Corrected level and number of significant tests over a long table of ``pvalue``."""
     valid = pvalues.where("pvalue between 0 and 1")
-    n = valid.agg(F.count(F.lit(1)).alias("n_tests"))
-    return (
-        valid.join(F.broadcast(n), F.lit(True))
-        .groupBy("n_tests")
-        .agg(F.expr(f"count_if(pvalue < {alpha}D / n_tests) as significant_tests"))
-        .selectExpr("'bonferroni' as method", f"{alpha}D as original_alpha", f"{alpha}D / n_tests as corrected_alpha", "n_tests", "significant_tests")
+    n = max(valid.count(), 1)
+    return valid.agg(
+        F.lit("bonferroni").alias("method"),
+        F.lit(alpha).alias("original_alpha"),
+        F.lit(alpha / n).alias("corrected_alpha"),
+        F.count(F.lit(1)).alias("n_tests"),
+        F.count_if(F.col("pvalue") < alpha / n).alias("significant_tests"),
     )
 
 

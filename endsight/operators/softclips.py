@@ -144,11 +144,8 @@ def site_clip_dataset(
     )
     order: list[Column] = [F.col("_h"), *[F.col(c) for c in SITE]]
     scanned = ordered_scan(sites, group=["label"], order=order, sums={"row": F.lit(1)})
-    classes = scanned.groupBy().agg(
-        F.expr(f"least(min(all_row), {max_sites // 2}) as _take"), F.expr("count(distinct label) as _classes")
-    )
-    return (
-        scanned.join(F.broadcast(classes), F.lit(True))
-        .where("_classes < 2 or run_row <= _take")
-        .select(*SITE, "label", "sequences")
-    )
+    sizes = [r["n"] for r in sites.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()]
+    if len(sizes) < 2:
+        return scanned.select(*SITE, "label", "sequences")
+    take = min(*sizes, max_sites // 2)
+    return scanned.where(F.col("run_row") <= take).select(*SITE, "label", "sequences")

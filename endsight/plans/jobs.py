@@ -156,6 +156,7 @@ def matched_contig_sweep(matches: DataFrame, reference_exons: DataFrame, train_r
         return F.when(in_train_split(F.col(chrom), train_range), "train").otherwise("validation")
 
     sizes = T.multi_exon_count(reference_exons.withColumn("split", split("chrom")), ["split"])
+    # one row per split
     rows = matches.withColumn("split", split("chrom")).join(F.broadcast(sizes), "split")
     value = rows.withColumn("cov", F.col(K.measure_column(measure)))
     return K.sweep_auc(value, F.col("multi_exon_transcripts"), by=["split"])
