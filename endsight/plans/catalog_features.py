@@ -304,22 +304,26 @@ register_sums(
     "starts",
 )
 CLIPS = """,
-lens as (select chrom, position, strand, cs as l from pair union all select chrom, position, strand, ce from pair),
-mom as (select *, avg(l) over w as m, stddev_pop(l) over w as sd from lens window w as (partition by chrom, position, strand))"""
+lens as (select chrom, position, strand, cs as l from pair union all select chrom, position, strand, ce from pair)"""
+MEAN = "(sum(l) / count(*)::double)"
+SECOND = "(sum(l * l)::double / count(*)::double)"
+THIRD = "(sum(l * l * l)::double / count(*)::double)"
 SKEWNESS = {
-    "softclip_length_variance": "round(var_pop(l), 12) + 0.0",
-    "softclip_length_skewness": """round(case when count(*) < 3 or max(l) = min(l) then 0.0
-        else avg((l - m) ** 3) / max(sd) ** 3 end, 12) + 0.0""",
+    "softclip_length_variance": rnd(f"{SECOND} - {MEAN} * {MEAN}"),
+    "softclip_length_skewness": rnd(
+        f"""case when count(*) < 3 or max(l) = min(l) then 0.0
+        else ({THIRD} - 3 * {MEAN} * {SECOND} + 2 * {MEAN} * {MEAN} * {MEAN}) / pow({SECOND} - {MEAN} * {MEAN}, 1.5) end"""
+    ),
 }
 
 
-# rational moments of small integers end in ties at six places, so twelve are compared
-@query("agg_14_skewness", per_site(SKEWNESS, CLIPS, "mom"))
+# raw moments on both sides: rational skewness values often end in rounding ties
+@query("agg_14_skewness", per_site(SKEWNESS, CLIPS, "lens"))
 def agg_14(spark, sf_dir):
     where, pairs = _pairs(spark, sf_dir)
     moments = X.read_features(X.read_sums(pairs, CFG), CFG).select(*X.SITE, *SKEWNESS)
     joined = where.join(moments, list(X.SITE), "left").fillna(0, list(SKEWNESS))
-    return joined.select(*X.SITE, *[(F.round(c, 12) + 0.0).alias(c) for c in SKEWNESS])
+    return joined.select(*X.SITE, *[(r6(c) + 0.0).alias(c) for c in SKEWNESS])
 
 
 register_sums(

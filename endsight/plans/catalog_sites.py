@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from endsight.operators import sites as S
 from endsight.plans.catalog import query
 from endsight.plans.views import view, with_views
