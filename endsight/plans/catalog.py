@@ -39,6 +39,7 @@ def load() -> None:
         catalog_compare,
         catalog_features,
         catalog_more,
+        catalog_outputs,
         catalog_sites,
         catalog_transcripts,
     )
