@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from endsight.llm import exact_dedup, sharding
+from endsight.llm import bpe, exact_dedup, sharding
 from endsight.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,18 @@ def op7_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """Path of the public word vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and checksums of ids and decoded text of every document."""
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 OP7_SQL = """
 with d as (
   select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as n
@@ -48,6 +60,7 @@ from e window w as (partition by sha order by chars desc, doc_id nulls last)
 QUERIES: dict[str, Query] = {
     "op3_feistel_shards": op3_feistel_shards,
     "op7_patricia_owners": op7_patricia_owners,
+    "op10_prefix_bpe": op10_prefix_bpe,
 }
 
 ORACLES: dict[str, str] = {"op7_patricia_owners": OP7_SQL}
