@@ -41,25 +41,37 @@ CHUNK = 1 << 18
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Fixed value: the word pattern of the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Ranges of code points that the installed pattern library counts as letters
+#: or digits and the vocabulary's library does not (its character tables are older).
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F),
+    (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD),
+    (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959),
+    (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9),
+    (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8),
+    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4),
+    (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+)
+#: Lower case of newer capital letters that Python's tables lack.
+NEWER_LOWER = str.maketrans(
+    {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
+    | {0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+    | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+    | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+)
 
 _DDL = "_id bigint, _ids array<int>, _decoded string"
 
 
 @lru_cache(maxsize=1)
 def _strict_patterns() -> tuple[regex.Pattern, regex.Pattern]:
-    """A search for characters that newer character tables call letters or digits, and the
-    word pattern that takes them for symbols, as the vocabulary's own tables do."""
-    newer = regex.compile(r"[\p{L}\p{N}]")
-    found = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn" and newer.match(c)]
-    runs: list[list[str]] = []
-    for c in found:
-        if runs and ord(c) == ord(runs[-1][1]) + 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    rare = "[" + "".join(f"{a}-{b}" for a, b in runs) + "]" if runs else r"(?!)"
-    strict = PATTERN.replace(r"[\p{L}]", rf"(?:(?!{rare})\p{{L}})").replace(r"[\p{N}]", rf"(?!{rare})\p{{N}}")
-    strict = strict.replace(r"[^\s\p{L}\p{N}]+", rf"(?:{rare}|[^\s\p{{L}}\p{{N}}])+")
+    """A search for the characters of ``NEWER`` and the word pattern that takes them for symbols."""
+    rare = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]"
+    strict = rf"'s|'t|'re|'ve|'m|'ll|'d|(?:(?!{rare})\p{{L}})+|(?!{rare})\p{{N}}|(?:{rare}|[^\s\p{{L}}\p{{N}}])+"
     return regex.compile(rare), regex.compile(strict)
 
 
@@ -102,6 +114,7 @@ class WordBpe:
         self.words: dict[str, bytes] = {}
         self.word_pattern = regex.compile(PATTERN)
         self.unassigned, self.strict_pattern = _strict_patterns()
+        self.capitals = regex.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
     def compatible(self, left: int, right: int) -> bool:
@@ -179,6 +192,8 @@ class WordBpe:
                     pattern = self.strict_pattern
                 # every character is lowered by itself, so a final sigma is a sigma
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                if self.capitals.search(part):
+                    part = part.translate(NEWER_LOWER)
             pieces = pattern.findall(part.lower())
             yield b"".join([words.get(p) or self._cached(p) for p in pieces])
 

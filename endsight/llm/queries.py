@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from endsight.llm import bpe, exact_dedup, sharding
-from endsight.llm.common import table
+from endsight.llm import bpe, exact_dedup, mixing, sharding, token_counts
+from endsight.llm.common import shared_folder, table
+from endsight.operators.scale import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,45 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four commits: load all documents under two versions, revise the counts of
+    low-quality documents to letter words, delete toxic documents, and send the deletes again."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    counted = cut_lineage(
+        docs.selectExpr(
+            "doc_id", "source", "lang", *[f"{token_counts.count_tokens('text', v)} as {v}" for v in token_counts.VERSIONS]
+        )
+    )
+    marked = counted.join(labels.select("doc_id", "quality", "toxic"), "doc_id")
+    revised = "if(quality = 0, letters, words)"
+    load = [token_counts.changes(counted, "insert", new=v, version=v) for v in ("words", "pieces")]
+    revise = token_counts.changes(marked.where("quality = 0"), "revise", old="words", new="letters", version="words")
+    toxic = marked.where("toxic = 1")
+    delete = [
+        token_counts.changes(toxic, "delete", old=revised, version="words"),
+        token_counts.changes(toxic, "delete", old="pieces", version="pieces"),
+    ]
+    rollup = token_counts.TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", load[0].unionByName(load[1]))
+    rollup.commit("revise", revise)
+    rollup.commit("delete", delete[0].unionByName(delete[1]))
+    rollup.commit("delete", delete[0].unionByName(delete[1]))
+    return rollup.totals()
+
+
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block, window and slot of every document."""
+    return mixing.schedule(table(spark, sf_dir, "documents")).selectExpr(
+        "_id as doc_id",
+        "_source as source",
+        "_block as block",
+        "_phase as phase",
+        "_release as release",
+        "_deadline as deadline",
+        "_slot as slot",
+    )
+
+
 def op7_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document and the row of each group that stays."""
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
@@ -44,6 +85,24 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+OP5_SQL = """
+with c as materialized (
+  select doc_id, source, lang,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as words,
+    coalesce(len(regexp_extract_all(text, '\\p{L}+|\\p{N}|[^\\x20\\x09-\\x0D\\p{L}\\p{N}]+')), 0) as pieces,
+    coalesce(len(regexp_extract_all(text, '\\p{L}+')), 0) as letters
+  from documents),
+m as (select c.*, quality, toxic from c join labels using (doc_id)),
+f as (
+  select source, lang, 'words' as tokenizer_version, 1 as docs, words as tokens from c
+  union all select source, lang, 'pieces', 1, pieces from c
+  union all select source, lang, 'words', 0, letters - words from m where quality = 0
+  union all select source, lang, 'words', -1, -case when quality = 0 then letters else words end from m where toxic = 1
+  union all select source, lang, 'pieces', -1, -pieces from m where toxic = 1)
+select source, lang, tokenizer_version, sum(docs)::bigint as docs, sum(tokens)::bigint as tokens
+from f group by all having sum(docs) <> 0 or sum(tokens) <> 0
+"""
+
 OP7_SQL = """
 with d as (
   select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as n
@@ -59,8 +118,10 @@ from e window w as (partition by sha order by chars desc, doc_id nulls last)
 
 QUERIES: dict[str, Query] = {
     "op3_feistel_shards": op3_feistel_shards,
+    "op5_token_rollup": op5_token_rollup,
+    "op6_pfair_mix": op6_pfair_mix,
     "op7_patricia_owners": op7_patricia_owners,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
 
-ORACLES: dict[str, str] = {"op7_patricia_owners": OP7_SQL}
+ORACLES: dict[str, str] = {"op5_token_rollup": OP5_SQL, "op7_patricia_owners": OP7_SQL}
