@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from endsight.llm import bpe, exact_dedup, mixing, sharding, token_counts
-from endsight.llm.common import shared_folder, table
+from endsight.llm import bpe, exact_dedup, language_id, mixing, quality, sharding, token_counts
+from endsight.llm.common import remainder, shared_folder, table
 from endsight.operators.scale import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +81,35 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = language_id.fit(docs.where(~held_out))
+    predicted = language_id.predict(docs, model)
+    return predicted.select(
+        F.col("_id").alias("doc_id"),
+        (remainder("_id", 4) == 2).alias("held_out"),
+        F.col("_lang_pred").alias("lang_pred"),
+        F.col("_score").alias("score"),
+    )
+
+
+def op9_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, perplexity and verdict of every document."""
+    return quality.judge(table(spark, sf_dir, "documents")).selectExpr(
+        "_id as doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "log_perplexity",
+    )
+
+
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and checksums of ids and decoded text of every document."""
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
@@ -121,6 +151,8 @@ QUERIES: dict[str, Query] = {
     "op5_token_rollup": op5_token_rollup,
     "op6_pfair_mix": op6_pfair_mix,
     "op7_patricia_owners": op7_patricia_owners,
+    "op8_word_backoff": op8_word_backoff,
+    "op9_kneser_ney_bands": op9_kneser_ney_bands,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
 
