@@ -75,6 +75,29 @@ def numbered(df: DataFrame, order: list[Column], group: list[str] | None = None)
     )
 
 
+def owned_rows(docs: DataFrame, winners: DataFrame, key: Column, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` named by ``winners`` (``_own, _own_key, _copies``), each once, with all columns.
+
+    ``key`` is the key of a row of ``docs`` aliased ``d``.  Of several rows equal in identifier and key the one with the
+    longest text stays.
+    """
+    rows = docs.alias("d").select(
+        F.struct("d.*").alias("_row"),
+        F.col(f"d.{doc_id}").cast("bigint").alias("_id"),
+        F.coalesce(F.length(F.col(f"d.{text}").cast("string")), F.lit(-1)).alias("_chars"),
+        key.alias("_key"),
+    )
+    chosen = rows.join(winners, F.expr("_id <=> _own and _key = _own_key"))
+    once = chosen.where("_copies = 1").select("_row")
+    several = (
+        chosen.where("_copies > 1")
+        .groupBy("_own", "_own_key")
+        .agg(F.max_by("_row", "_chars").alias("_row"))
+        .select("_row")
+    )
+    return once.unionByName(several).select("_row.*")
+
+
 def rows_out(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most ``size`` rows and about ``limit`` bytes of text."""
     held, weight = [], 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from endsight.llm.common import BLANKS, keyed, rows_out
+from endsight.llm.common import BLANKS, keyed, owned_rows, rows_out
 
 _DELETE = BLANKS.encode()
 #: Bytes of text that one trie may hold before it spills a subtree.
@@ -213,27 +213,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, budg
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, budget: int = TRIE_BYTES) -> DataFrame:
     """The rows of ``docs`` that own their text, with all their columns."""
-    plain = F.translate(F.coalesce(F.col(f"d.{text}").cast("string"), F.lit("")), BLANKS, "")
-    rows = docs.alias("d").select(
-        F.struct("d.*").alias("_row"),
-        F.col(f"d.{doc_id}").cast("bigint").alias("_id"),
-        F.length(F.coalesce(F.col(f"d.{text}").cast("string"), F.lit(""))).cast("bigint").alias("_chars"),
-        F.sha2(plain, 256).alias("_sha"),
-    )
-    own = classes(docs, doc_id, text, budget=budget)
-    winners = own.groupBy("doc_id", "text_sha256").agg(
-        F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_copies")
-    ).where("_kept")
-    chosen = rows.join(
-        winners.selectExpr("doc_id as _own", "text_sha256 as _own_sha", "_copies"),
-        F.expr("_id <=> _own and _sha = _own_sha"),
+    winners = (
+        classes(docs, doc_id, text, budget=budget)
+        .groupBy("doc_id", "text_sha256")
+        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_copies"))
+        .where("_kept")
+        .selectExpr("doc_id as _own", "text_sha256 as _own_key", "_copies")
     )
-    once = chosen.where("_copies = 1").select("_row")
-    # rows equal in identifier and text, perhaps apart in blanks: the longest original, then any one
-    several = (
-        chosen.where("_copies > 1")
-        .groupBy("_own", "_own_sha")
-        .agg(F.max_by("_row", "_chars").alias("_row"))
-        .select("_row")
-    )
-    return once.unionByName(several).select("_row.*")
+    plain = F.translate(F.coalesce(F.col(f"d.{text}").cast("string"), F.lit("")), BLANKS, "")
+    return owned_rows(docs, winners, F.sha2(plain, 256), doc_id, text)

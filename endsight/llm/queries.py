@@ -8,13 +8,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from endsight.llm import bpe, exact_dedup, language_id, mixing, quality, sharding, token_counts
+from endsight.llm import bpe, exact_dedup, language_id, mixing, near_dedup, quality, sharding, token_counts, toxicity
 from endsight.llm.common import remainder, shared_folder, table
 from endsight.operators.scale import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    """Trained on the two thirds of ``docs`` and of the labels that may be learned from."""
+    open_to_learning = remainder("doc_id", 3) != 1
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.fit(docs.where(open_to_learning), labels.where(open_to_learning))
+
+
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(spark, sf_dir, docs)
+    scored = docs.select("doc_id", toxicity.scorer(docs, model).alias("score"))
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        F.expr(f"int(score >= {toxicity.THRESHOLD})").alias("predicted"),
+    )
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 under the law ``rows``."""
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
@@ -30,6 +50,11 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("_key")
+
+
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four commits: load all documents under two versions, revise the counts of
     low-quality documents to letter words, delete toxic documents, and send the deletes again."""
@@ -147,7 +172,9 @@ from e window w as (partition by sha order by chars desc, doc_id nulls last)
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op3_feistel_shards": op3_feistel_shards,
+    "op4_order_minhash": op4_order_minhash,
     "op5_token_rollup": op5_token_rollup,
     "op6_pfair_mix": op6_pfair_mix,
     "op7_patricia_owners": op7_patricia_owners,
