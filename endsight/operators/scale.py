@@ -9,7 +9,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +27,7 @@ LEVELS = 8
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with a reliable checkpoint and return the materialised rows.
 
-    The folder is the one named by ``spark.checkpoint.dir``; a temporary folder is
-    used only where neither that setting nor a checkpoint folder exists (local runs).
+    The folder is the session's checkpoint folder or the one named by ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -37,9 +35,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
             "spark.checkpoint.dir"
         )
-        if shared is None and not context.master.startswith("local"):
+        if shared is None:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
