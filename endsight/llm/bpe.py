@@ -27,7 +27,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from endsight.llm.common import keyed
 
@@ -254,11 +255,10 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     return keyed(docs, doc_id, text).mapInArrow(_run(source), _DDL)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Counts and checksums of ``encode``'s result."""
-    return encoded.selectExpr(
-        "_id as doc_id",
-        "bigint(size(_ids)) as n_tokens",
-        "sha2(array_join(cast(_ids as array<string>), ' '), 256) as ids_sha256",
-        "sha2(_decoded, 256) as decoded_sha256",
-    )
+def digest_columns() -> list[Column]:
+    """Number of tokens and checksums, as columns over ``encode``'s result."""
+    return [
+        F.expr("bigint(size(_ids))").alias("n_tokens"),
+        F.expr("sha2(array_join(cast(_ids as array<string>), ' '), 256)").alias("ids_sha256"),
+        F.expr("sha2(_decoded, 256)").alias("decoded_sha256"),
+    ]

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from endsight.llm import bpe, exact_dedup, language_id, mixing, near_dedup, quality, sharding, token_counts, toxicity
-from endsight.llm.common import remainder, shared_folder, table
+import corpus_pipeline
+from endsight.llm import bpe, exact_dedup, language_id, mixing, near_dedup, pii, quality, sharding, token_counts, toxicity
+from endsight.llm.common import remainder, shared_folder, table, vocabulary
 from endsight.operators.scale import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,17 @@ def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    return found.selectExpr(
+        "_id as doc_id",
+        *[f"bigint(size(filter(_base, x -> x.k = {i}))) as n_{k}" for i, k in enumerate(pii.KINDS)],
+        f"sha2({pii.listed('_base')}, 256) as base_sha256",
+        f"{pii.listed('_spans')} as spans",
+    )
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 under the law ``rows``."""
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
@@ -99,45 +111,10 @@ def op7_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-def vocabulary() -> str:
-    """Path of the public word vocabulary."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-def op8_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted language of every document; learned from three quarters of them."""
-    docs = table(spark, sf_dir, "documents")
-    held_out = remainder("doc_id", 4) == 2
-    model = language_id.fit(docs.where(~held_out))
-    predicted = language_id.predict(docs, model)
-    return predicted.select(
-        F.col("_id").alias("doc_id"),
-        (remainder("_id", 4) == 2).alias("held_out"),
-        F.col("_lang_pred").alias("lang_pred"),
-        F.col("_score").alias("score"),
-    )
-
-
-def op9_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts, perplexity and verdict of every document."""
-    return quality.judge(table(spark, sf_dir, "documents")).selectExpr(
-        "_id as doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        "kept",
-        "log_perplexity",
-    )
-
-
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and checksums of ids and decoded text of every document."""
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
+    return encoded.select(F.col("_id").alias("doc_id"), *bpe.digest_columns())
 
 
 OP5_SQL = """
@@ -172,7 +149,9 @@ from e window w as (partition by sha order by chars desc, doc_id nulls last)
 """
 
 QUERIES: dict[str, Query] = {
+    "pipeline": corpus_pipeline.run,
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
+    "op2_weak_supervision": op2_weak_supervision,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_order_minhash": op4_order_minhash,
     "op5_token_rollup": op5_token_rollup,
