@@ -31,35 +31,6 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def op8_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted language of every document; learned from three quarters of them."""
-    docs = table(spark, sf_dir, "documents")
-    held_out = remainder("doc_id", 4) == 2
-    model = language_id.fit(docs.where(~held_out))
-    predicted = language_id.predict(docs, model)
-    return predicted.select(
-        F.col("_id").alias("doc_id"),
-        (remainder("_id", 4) == 2).alias("held_out"),
-        F.col("_lang_pred").alias("lang_pred"),
-        F.col("_score").alias("score"),
-    )
-
-
-def op9_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts, perplexity and verdict of every document."""
-    return quality.judge(table(spark, sf_dir, "documents")).selectExpr(
-        "_id as doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        "kept",
-        "log_perplexity",
-    )
-
-
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns most operators need, as ``_id`` (bigint) and ``_text`` (string)."""
     return docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).cast("string").alias("_text"))
