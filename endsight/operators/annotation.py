@@ -57,9 +57,9 @@ def filter_by_contig(lines: DataFrame, contigs: DataFrame) -> DataFrame:
     Comments and empty lines stay, short lines and lines without a transcript id go.
     """
     allowed = contigs.select("chrom").distinct()
+    known = lines.where(f"feature = 'transcript' and n_columns >= {COLUMNS} and strand <> '.'")
     kept = (
-        lines.where(f"feature = 'transcript' and n_columns >= {COLUMNS} and strand <> '.'")
-        .join(allowed, "chrom", "left_semi")
+        skew_join(known.select("chrom", "transcript_id"), allowed, ["chrom"], "inner")
         .select("transcript_id", F.lit(True).alias("_kept"))
         .where("transcript_id is not null")
         .distinct()
@@ -70,6 +70,17 @@ def filter_by_contig(lines: DataFrame, contigs: DataFrame) -> DataFrame:
     ).select(*lines.columns)
 
 
+def _with_attributes(value: Column, attrs: Column) -> Column:
+    """The line with its attribute column replaced; columns after it stay, however many."""
+    columns = F.split(value, "\t")
+    return F.concat_ws(
+        "\t",
+        F.array_join(F.slice(columns, 1, COLUMNS - 1), "\t"),
+        attrs,
+        F.when(F.size(columns) > COLUMNS, F.array_join(F.slice(columns, F.lit(COLUMNS + 1), F.size(columns)), "\t")),
+    )
+
+
 def inject_score(lines: DataFrame, scores: DataFrame) -> DataFrame:
     """Write ``score`` as coverage into the transcript lines that have one.
 
@@ -80,16 +91,7 @@ def inject_score(lines: DataFrame, scores: DataFrame) -> DataFrame:
     rewritten = set_coverage(F.col("attrs"), F.col("_new"))
     change = F.col("_new").isNotNull() & (F.col("feature") == "transcript")
     attrs = F.when(change, rewritten).otherwise(F.col("attrs"))
-    columns = F.split("value", "\t")
-    value = F.when(
-        change,
-        F.concat_ws(
-            "\t",
-            F.array_join(F.slice(columns, 1, COLUMNS - 1), "\t"),
-            attrs,
-            F.when(F.size(columns) > COLUMNS, F.array_join(F.slice(columns, COLUMNS + 1, 1000), "\t")),
-        ),
-    ).otherwise(F.col("value"))
+    value = F.when(change, _with_attributes(F.col("value"), attrs)).otherwise(F.col("value"))
     return marked.withColumns({"value": value, "attrs": attrs}).select(*lines.columns)
 
 
@@ -308,8 +310,7 @@ def rename_lines(lines: DataFrame, chosen: DataFrame) -> DataFrame:
     attrs = set_attribute(
         set_attribute(F.col("attrs"), "gene_id", F.col("new_gene_id")), "transcript_id", F.col("new_transcript_id")
     )
-    head = F.array_join(F.slice(F.split("value", "\t"), 1, COLUMNS - 1), "\t")
-    return joined.withColumn("value", F.concat_ws("\t", head, attrs))
+    return joined.withColumn("value", _with_attributes(F.col("value"), attrs))
 
 
 def union_annotation(annotation: DataFrame, added: DataFrame) -> DataFrame:

@@ -31,11 +31,12 @@ RANKER = {
     "maxIter": 300, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 0.7,
     "featureSubsetStrategy": "0.7", "minInstancesPerNode": 20,
 }
-NON_FEATURES = frozenset(
-    "chrom position chrom_tss position_tss chrom_tes position_tes tss_chrom tss_pos tes_chrom tes_pos"
-    " site_type site_type_tss site_type_tes strand strand_tss strand_tes ref_id chrom_num transcript_id"
-    " gene_id assembler_id assembly_id sample label label_tss label_tes read_strand site_id".split()
-)
+NON_FEATURES = (
+    "transcript_id", "gene_id", "ref_id", "assembler_id", "assembly_id", "sample", "site_id", "site_type",
+    "chrom", "position", "strand", "chrom_num", "tss_chrom", "tss_pos", "tes_chrom", "tes_pos",
+    "chrom_tss", "position_tss", "strand_tss", "site_type_tss", "chrom_tes", "position_tes", "strand_tes", "site_type_tes",
+    "read_strand", "label", "label_tss", "label_tes",
+)
 NUMERIC = {"int", "bigint", "double", "float", "smallint", "tinyint"}
 
 
@@ -163,9 +164,9 @@ def univariate(df: DataFrame, features: Sequence[str], k: int) -> list[str]:
     return [features[i] for i in sorted(fitted.selectedFeatures)]
 
 
-def select_by_importance(df: DataFrame, features: Sequence[str], *, contig: str = "chr1", params: dict | None = None) -> DataFrame:
-    """Forest importances learned on one contig, most important first."""
-    model = fit(df.where(F.col("chrom") == contig), features, kind="rf", params={"numTrees": 100} | (params or {}))
+def select_by_importance(df: DataFrame, features: Sequence[str], *, params: dict | None = None) -> DataFrame:
+    """Forest importances learned on ``df``, the caller's train split, most important first."""
+    model = fit(df, features, kind="rf", params={"numTrees": 100} | (params or {}))
     return model.importances(df.sparkSession).orderBy(F.desc("importance"), "feature")
 
 

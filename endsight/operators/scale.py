@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 # Rows of one join key that a single task may receive before the key is split.
 ROWS_PER_SLICE = 2_000_000
-# Upper bound on the pieces of one key; pieces grow beyond ROWS_PER_SLICE after that.
-MAX_SLICES = 1_024
 # Interval levels: bits of the finest bin, bits added per level, number of levels.
 BASE_BITS = 10
 LEVEL_BITS = 2
@@ -56,15 +54,15 @@ def salt_hot_keys(
 
     Rows of ``big`` under a hot key are spread over ``n`` slices by a hash of the
     row; rows of ``small`` under that key are repeated ``n`` times.  All other rows
-    keep slice 0.  The list of hot keys is broadcast: it has at most
-    ``rows(big) / rows_per_slice`` entries, because every entry stands for more than
-    ``rows_per_slice`` rows.
+    keep slice 0.  The list of hot keys has at most ``rows(big) / rows_per_slice`` entries,
+    because every entry stands for more than ``rows_per_slice`` rows; the planner decides
+    by its size whether to broadcast it.
     """
-    hot = F.broadcast(
+    hot = (
         big.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(f"_rows > {rows_per_slice}")
-        .selectExpr(*keys, f"int(least(ceil(_rows / {rows_per_slice}), {MAX_SLICES})) as _slices")
+        .selectExpr(*keys, f"int(ceil(_rows / {rows_per_slice})) as _slices")
     )
     hashed = F.xxhash64(*big.columns)
     salted = (
@@ -185,7 +183,14 @@ def ordered_scan(
         *[F.sum(f"_t_{n}").over(whole).alias(f"all_{n}") for n in sums],
         *[F.lag(f"_e_{n}").over(over_blocks)[f"_p_{n}"].alias(f"_b_{n}") for n in previous],
     )
-    joined = local.join(carried, ["_block", *keys], "left")
+    # null-safe, for rows whose group is NULL
+    other = carried.select(
+        F.col("_block").alias("_k"), *[F.col(k).alias(f"_k_{k}") for k in keys], *carried.columns[1 + len(keys) :]
+    )
+    same = F.col("_block") == F.col("_k")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = local.join(other, same, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_r_{n}") + F.col(f"_c_{n}")).alias(f"run_{n}") for n in sums],

@@ -13,14 +13,13 @@ from endsight.operators.scale import ordered_scan, overlap_join, skew_join
 from endsight.operators.sites import LABEL_TOLERANCE, proximity_label
 
 # Shortest clip kept as a row, shortest clip of a training site, k-mer sizes,
-# letters of a sequence, counted dinucleotides, size and contigs of the balanced training set.
+# letters of a sequence, counted dinucleotides, size of the balanced training set.
 MIN_CLIP = 2
 MIN_TRAIN_CLIP = 5
 PROFILE_K = (3, 4, 5)
 LETTERS = "ACGTNRYSWKMBDHV"
 DINUCLEOTIDES = ("AA", "AT", "GC", "CG")
 MAX_TRAIN_SITES = 5_000
-TRAIN_CONTIGS = ("chr1", "chr2", "chr3", "chr4", "chr5")
 
 
 def softclip_rows(sites: DataFrame, reads: DataFrame, cfg: FeatureConfig) -> DataFrame:
@@ -60,10 +59,10 @@ def label_softclips(clips: DataFrame, reference: DataFrame, site_type: str, *, t
     return proximity_label(typed, reference, tolerance=tolerance).drop("site_type")
 
 
-def reconcile_counts(features: DataFrame, clips: DataFrame, *, limit: int = 200) -> DataFrame:
-    """Sites whose clip count in the feature table agrees with the clip rows (up to ``limit`` rows)."""
+def reconcile_counts(features: DataFrame, clips: DataFrame) -> DataFrame:
+    """Sites whose clip count in the feature table agrees with the clip rows, however deep the site."""
     counted = clips.where("clip_type = 'start'").groupBy(*SITE).agg(F.count(F.lit(1)).alias("rows"))
-    joined = counted.where(F.col("rows") <= limit).join(features, list(SITE))
+    joined = counted.join(features, list(SITE))
     return joined.agg(
         F.expr("count_if(abs(start_soft_clip_count - rows) < 1) as matching"),
         F.expr("count_if(abs(start_soft_clip_count - rows) >= 1) as differing"),
@@ -127,25 +126,26 @@ def sequence_statistics(clips: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def site_clip_dataset(
-    labeled: DataFrame, clip_type: str, *, max_sites: int = MAX_TRAIN_SITES, contigs: Sequence[str] = TRAIN_CONTIGS
-) -> DataFrame:
-    """Class-balanced sample of sites with clips of at least five bases.
+def site_clip_dataset(labeled: DataFrame, clip_type: str, *, max_sites: int = MAX_TRAIN_SITES) -> DataFrame:
+    """Class-balanced sample of labelled sites with clips of at least five bases, for fitting a model.
 
-    The label of a site is the majority of its rows.  The sample takes, per class, the
-    sites with the smallest hash, as many as the smaller class and ``max_sites`` allow.
+    The label of a site is the majority of its rows; rows without a label do not count.  The
+    sample takes, per class, the sites with the smallest SHA-1, as many as the smaller
+    class and ``max_sites`` allow; that bound is on the labelled rows of the fit.  With one class
+    only there is nothing to balance, and up to half of ``max_sites`` of it are taken.  The train split
+    is the caller's: pass the rows that may be learned from.
     """
-    rows = labeled.where((F.col("clip_type") == clip_type) & (F.length(F.trim("sequence")) >= MIN_TRAIN_CLIP))
+    rows = labeled.where("label is not null").where((F.col("clip_type") == clip_type) & (F.length(F.trim("sequence")) >= MIN_TRAIN_CLIP))
     sites = (
-        rows.where(F.col("chrom").isin(*contigs))
-        .groupBy(*SITE)
+        rows.groupBy(*SITE)
         .agg(F.expr("int(avg(label) > 0.5) as label"), F.count(F.lit(1)).alias("sequences"))
-        .withColumn("_h", F.xxhash64(*SITE))
+        .withColumn("_h", F.sha1(F.concat_ws("|", *SITE)))
     )
     order: list[Column] = [F.col("_h"), *[F.col(c) for c in SITE]]
     scanned = ordered_scan(sites, group=["label"], order=order, sums={"row": F.lit(1)})
-    sizes = [r["n"] for r in sites.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()]
-    if len(sizes) < 2:
-        return scanned.select(*SITE, "label", "sequences")
-    take = min(*sizes, max_sites // 2)
-    return scanned.where(F.col("run_row") <= take).select(*SITE, "label", "sequences")
+    # one row: the smaller class
+    least = scanned.groupBy("label").agg(F.max("all_row").alias("n")).agg(F.min("n").alias("_least"))
+    return (
+        scanned.join(F.broadcast(least), F.expr(f"run_row <= least(_least, {max_sites // 2})"))
+        .select(*SITE, "label", "sequences")
+    )

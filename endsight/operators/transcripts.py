@@ -72,15 +72,20 @@ def multi_exon_count(exons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return per_tx.groupBy(*by).agg(F.count_if(F.col("count") > 1).alias("multi_exon_transcripts"))
 
 
+def known_score(column: str) -> Column:
+    """The score, NULL where it is NaN: Spark would order NaN above every number."""
+    return F.when(~F.isnan(column), F.col(column))
+
+
 def site_probabilities(
     sites: DataFrame, scores: DataFrame, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
     """Left join of score columns, 0.5 where a site has none.
 
     Repeated score rows of one key are reduced first so that the join keeps the row
-    count of ``sites``; the highest value of each column is kept.
+    count of ``sites``; the highest value of each column is kept, and NaN counts as none.
     """
-    best = scores.groupBy(*keys).agg(*[F.max(c).alias(c) for c in columns])
+    best = scores.groupBy(*keys).agg(*[F.max(known_score(c)).alias(c) for c in columns])
     return skew_join(sites, best, keys).fillna(DEFAULT_PROBABILITY, list(columns))
 
 
@@ -92,7 +97,7 @@ def best_row_per_site(sites: DataFrame, probability: str = "probability") -> Dat
     """
     keys = ["chrom", "position", "strand", "site_type"]
     rest = [c for c in sites.columns if c not in keys]
-    order = [(-F.col(probability)).alias("_p")]
+    order = [F.coalesce(-known_score(probability), F.lit(float("inf"))).alias("_p")]
     if "transcript_id" in rest:
         order.append(F.col("transcript_id").alias("_t"))
     lowest = F.min(F.struct(*order, F.struct(*rest).alias("row")))
@@ -103,9 +108,9 @@ def best_row_per_site(sites: DataFrame, probability: str = "probability") -> Dat
 def best_row_per_transcript(
     rows: DataFrame, score: str, *, keys: Sequence[str] = ("transcript_id",)
 ) -> DataFrame:
-    """Row with the highest ``score`` per transcript."""
+    """Row with the highest ``score`` per transcript; NaN and NULL come last."""
     rest = [c for c in rows.columns if c not in keys]
-    ordered = [score, *[c for c in rest if c != score]]
+    ordered = [known_score(score).alias("_score"), *[c for c in rest if c != score], score]
     picked = rows.groupBy(*keys).agg(F.max(F.struct(*ordered)).alias("_best"))
     return picked.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
 
@@ -197,8 +202,8 @@ def ranked_cov_labels(
     ranked: DataFrame, cov: DataFrame, labels: DataFrame, *, score: str = "pred_prob", abundance: str = "coverage"
 ) -> DataFrame:
     """Model score, baseline abundance and label on the same transcripts."""
-    best_score = ranked.groupBy("transcript_id").agg(F.max(score).alias(score))
-    best_cov = cov.groupBy("transcript_id").agg(F.max(abundance).alias(abundance))
+    best_score = ranked.groupBy("transcript_id").agg(F.max(known_score(score)).alias(score))
+    best_cov = cov.groupBy("transcript_id").agg(F.max(known_score(abundance)).alias(abundance))
     return best_score.join(best_cov, "transcript_id").join(labels, "transcript_id")
 
 

@@ -27,7 +27,7 @@ select cast(substr(transcript_id, 4) as bigint) * 100 + 1 + cast((exon_start - 2
          concat('transcript_id "', transcript_id, '"; exon_number "1";')) as value
 from v_exon"""
 PARSED_SQL = f"""lines as ({LINES}),
-p as (select line_no, value, c[1] as chrom, c[3] as feature, c[4]::bigint as start, c[5]::bigint as "end", c[7] as strand, c[9] as attrs,
+p as materialized (select line_no, value, c[1] as chrom, c[3] as feature, c[4]::bigint as start, c[5]::bigint as "end", c[7] as strand, c[9] as attrs,
   nullif(regexp_extract(c[9], 'transcript_id\\s+"([^"]+)"', 1), '') as transcript_id, nullif(regexp_extract(c[9], 'gene_id\\s+"([^"]+)"', 1), '') as gene_id
   from (select *, string_split(value, chr(9)) as c from lines))"""
 

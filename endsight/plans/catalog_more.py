@@ -72,7 +72,7 @@ def jon_22(spark, sf_dir):
 @query(
     "jon_23_clip_count_reconcile",
     with_views(
-        f"""with {CLIP_ROWS_SQL}, c as (select chrom, position, strand, count(*) as rows from clips where clip_type = 'start' group by all having count(*) <= 200),
+        f"""with {CLIP_ROWS_SQL}, c as (select chrom, position, strand, count(*) as rows from clips where clip_type = 'start' group by all),
         f as (select c.chrom, c.position, c.strand, count(*) as n from coord c join rd r on r.chrom = c.chrom and r.ref_end > greatest(0, c.position - 100) and r.ref_start < c.position + 100 group by all)
         select count(*) filter (abs(n - rows) < 1) as matching, count(*) filter (abs(n - rows) >= 1) as differing from c join f using (chrom, position, strand)""",
         "v_tx", "v_aln",
@@ -120,7 +120,17 @@ def agg_18_stats(spark, sf_dir):
     return s.select("chrom", r6("mean_length").alias("mean_length"), r6("std_length").alias("std_length"), "num_sequences", r6("gc_content").alias("gc_content"), r6("dinuc_AA_freq").alias("dinuc_AA_freq"))
 
 
-@query("agg_40_site_clip_dataset")
+@query(
+    "agg_40_site_clip_dataset",
+    with_views(
+        f"""with {CLIP_ROWS_SQL}, long as (select chrom, position, strand, count(*) as sequences from clips where clip_type = 'start' and length(trim(sequence)) >= 5 group by all),
+        lab as (select l.*, exists (select 1 from v_ref_site r where r.site_type = 'TSS' and r.chrom = l.chrom and r.strand = l.strand and r.position between l.position - 50 and l.position + 50)::int as label from long l),
+        o as (select *, row_number() over (partition by label order by sha1(chrom || '|' || position || '|' || strand), chrom, position, strand) as i from lab)
+        select chrom, position, strand, label, sequences from o
+        where i <= least(2500, (select min(n) from (select count(*) as n from lab group by label)))""",
+        "v_tx", "v_aln", "v_ref_site",
+    ),
+)
 def agg_40(spark, sf_dir):
     labeled = P.label_softclips(clip_rows(spark, sf_dir), view(spark, sf_dir, "v_ref_site"), "TSS")
     return P.site_clip_dataset(labeled, "start")
@@ -309,7 +319,8 @@ def mlo_08(spark, sf_dir):
 @query("mlo_09_importance_selection")
 def mlo_09(spark, sf_dir):
     rows = tx_training(spark, sf_dir)
-    return M.select_by_importance(rows, M.feature_names(rows), params=FOREST)
+    learn = rows.where(in_train_split(F.col("chrom"), (1, 10)))
+    return M.select_by_importance(learn, M.feature_names(rows), params=FOREST)
 
 
 @query("mlo_10_clip_model")

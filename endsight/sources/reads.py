@@ -10,12 +10,12 @@ from endsight.operators.ranking import rank_index
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:
-    """Alignment rows from SAM text lines (``value``)."""
+    """Alignment rows from SAM text lines (``value``); a number that cannot be read is NULL."""
     cols = F.split("value", "\t")
     body = lines.where(~F.col("value").startswith("@")).withColumn("c", cols).where("size(c) >= 11")
     rows = body.selectExpr(
-        "c[2] as chrom", "bigint(c[3]) - 1 as ref_start", "int(c[4]) as mapq", "(int(c[1]) & 4) <> 0 as is_unmapped",
-        "(int(c[1]) & 16) <> 0 as is_reverse", "nullif(regexp_extract(value, '\\tts:A:(.)', 1), '') as ts",
+        "c[2] as chrom", "try_cast(c[3] as bigint) - 1 as ref_start", "try_cast(c[4] as int) as mapq",
+        "(try_cast(c[1] as int) & 4) <> 0 as is_unmapped", "(try_cast(c[1] as int) & 16) <> 0 as is_reverse", "nullif(regexp_extract(value, '\\tts:A:(.)', 1), '') as ts",
         "nullif(c[5], '*') as cigar", "nullif(c[9], '*') as seq",
     )
     span = reference_span(parse_cigar(F.col("cigar")))
@@ -59,16 +59,12 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_length_stats(lengths: DataFrame, *, by: tuple[str, ...] = (), order: str | None = None, first: int | None = None) -> DataFrame:
+def read_length_stats(lengths: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
     """Count, minimum, maximum, floored mean and lengths by frequency (rarest first, longer first on ties).
 
-    ``lengths`` has ``length``; with ``first`` only the first rows by ``order`` count,
-    the way a file prefix is profiled.
+    ``lengths`` has ``length``; every read counts.
     """
-    rows = lengths
-    if first:
-        rows = rank_index(rows, by=list(by), order=[F.col(order)]).where(F.col("rank_idx") < first)
-    per_length = rows.groupBy(*by, "length").agg(F.count(F.lit(1)).alias("c"))
+    per_length = lengths.groupBy(*by, "length").agg(F.count(F.lit(1)).alias("c"))
     # one entry per distinct length, not per read
     return per_length.groupBy(*by).agg(
         F.expr("sum(c) as reads"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from endsight.functions import attributes as A
-from endsight.functions.contigs import autosome_number, in_train_split, normalize_chrom, parse_split_policy
+from endsight.functions.contigs import autosome_number, in_train_split, normalize_chrom
 from endsight.functions.reads import parse_cigar, reference_span, splice_boundaries
 from endsight.functions.sequences import kmers, reverse_complement
 from endsight.operators import compare as C
@@ -28,9 +28,6 @@ def test_autosome_numbers(spark):
 
 
 def test_split(spark):
-    assert parse_split_policy("10-chr1") == (1, 10)
-    with pytest.raises(ValueError):
-        parse_split_policy("all")
     df = spark.createDataFrame([("1",), ("chr5",), ("GL000191.1",), ("15",), (None,)], "c string")
     got = [r[0] for r in df.select(in_train_split(F.col("c"), (1, 10))).collect()]
     assert got == [True, True, False, False, False]
