@@ -15,10 +15,10 @@ from endsight.functions.contigs import in_train_split
 from endsight.plans import jobs
 from endsight.plans.catalog import query, r6
 from endsight.plans.catalog_annotation import annotated_ends
-from endsight.plans.catalog_compare import cohorts, runs
+from endsight.plans.catalog_compare import CASE, LONG_SQL, cohorts, runs
 from endsight.plans.catalog_features import READS_SQL, alignments
 from endsight.plans.catalog_sites import SITES_SQL, tx_sites
-from endsight.plans.catalog_transcripts import coverage, labels
+from endsight.plans.catalog_transcripts import BED_SQL, COV_SQL, coverage, labels
 from endsight.plans.views import table, view, with_views
 from endsight.sources import reads as RD
 from endsight.sources import tables as TB
@@ -248,7 +248,14 @@ def agg_41(spark, sf_dir):
     return RD.read_length_stats(lengths, by=("lang",))
 
 
-@query("snk_06_bed12_lines")
+@query(
+    "snk_06_bed12_lines",
+    with_views(
+        f"""select concat_ws(chr(9), chrom, chrom_start, chrom_end, name, score, strand, thick_start, thick_end, rgb, block_count, block_sizes, block_starts) as value
+        from ({BED_SQL})""",
+        "v_tx", "v_exon",
+    ),
+)
 def snk_06(spark, sf_dir):
     from endsight.plans.catalog_transcripts import agg_42
 
@@ -293,7 +300,13 @@ def mlo_03(spark, sf_dir):
     return validated(tx_training(spark, sf_dir), "ranker", BOOSTED)
 
 
-@query("mlo_05_single_class")
+@query(
+    "mlo_05_single_class",
+    with_views(
+        f"""with {COV_SQL} select c.transcript_id, 1.0::double as pred_prob from cov c join v_tmap m on m.qry_id = c.transcript_id where m.class_code = '='""",
+        "v_tx", "v_exon", "v_tmap",
+    ),
+)
 def mlo_05(spark, sf_dir):
     rows = tx_training(spark, sf_dir).where("label = 1")
     model = M.fit(rows, ["coverage"], kind="ranker")
@@ -371,9 +384,26 @@ def job_03_tx(spark, sf_dir):
     return jobs.evaluate_transcripts(ranked, cov, labels(spark, sf_dir))
 
 
-@query("job_04_compare_runs")
+RATES = ("win_rate", "delta_median", "delta_mean", "rel_median")
+
+
+@query(
+    "job_04_compare_runs",
+    with_views(
+        f"""with {LONG_SQL}, levels as (
+          select 'aggregates' as level, metric_group, data_type, assembler_id, model, null::varchar as train_annotation, null::varchar as test_annotation, win_vs_baseline, delta_vs_baseline, relative_gain from cmp
+          union all select 'by_case', metric_group, data_type, assembler_id, model, train_annotation, test_annotation, win_vs_baseline, delta_vs_baseline, relative_gain from cmp)
+        select level, metric_group, data_type, assembler_id, model, train_annotation, test_annotation, count(*) as n, {rnd('avg(win_vs_baseline::int)')} as win_rate,
+          {rnd('median(delta_vs_baseline)')} as delta_median, {rnd('avg(delta_vs_baseline)')} as delta_mean, {rnd('median(relative_gain)')} as rel_median from levels group by all""",
+        "v_run",
+    ),
+)
 def job_04(spark, sf_dir):
-    return jobs.compare_runs(runs(spark, sf_dir))["aggregates"]
+    tables = jobs.compare_runs(runs(spark, sf_dir))
+    parts = [tables[level].withColumn("level", F.lit(level)) for level in ("aggregates", "by_case")]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    keys = ["level", *CASE, "train_annotation", "test_annotation"]
+    return both.select(*keys, "n", *[r6(c).alias(c) for c in RATES])
 
 
 @query("job_05_augment_reference")

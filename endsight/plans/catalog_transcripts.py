@@ -322,20 +322,17 @@ def jon_26(spark, sf_dir):
     return T.exact_structure_match(chains, annotated)
 
 
-@query(
-    "agg_42_bed12_blocks",
-    with_views(
-        """with ex as (select distinct e.transcript_id, t.chrom, t.strand, exon_start as s, exon_end as e
+BED_SQL = """with ex as (select distinct e.transcript_id, t.chrom, t.strand, exon_start as s, exon_end as e
              from v_exon e join v_tx t using (transcript_id) where exon_start < exon_end and t.strand in ('+', '-')),
         g as (select transcript_id, any_value(chrom) as chrom, any_value(strand) as strand, min(s) as lo, max(e) as hi, count(*) as n,
                 string_agg((e - s + 1)::varchar, ',' order by s, e) as block_sizes from ex group by 1)
         select chrom, lo - 1 as chrom_start, hi as chrom_end, transcript_id as name, 0 as score, strand, lo - 1 as thick_start, hi as thick_end,
           '0,0,0' as rgb, n::int as block_count, block_sizes,
           (select string_agg((ex.s - g.lo)::varchar, ',' order by ex.s, ex.e) from ex where ex.transcript_id = g.transcript_id) as block_starts
-        from g""",
-        "v_tx", "v_exon",
-    ),
-)
+        from g"""
+
+
+@query("agg_42_bed12_blocks", with_views(BED_SQL, "v_tx", "v_exon"))
 def agg_42(spark, sf_dir):
     tx = view(spark, sf_dir, "v_tx").select("transcript_id", "chrom", "strand")
     exons = view(spark, sf_dir, "v_exon").join(tx, "transcript_id")
