@@ -6,13 +6,10 @@ strand, attrs, transcript_id, gene_id`` as returned by :func:`endsight.sources.g
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from endsight.functions.attributes import set_attribute, set_coverage
 from endsight.operators.scale import cut_lineage, skew_join
@@ -98,123 +95,65 @@ def inject_score(lines: DataFrame, scores: DataFrame) -> DataFrame:
 # ---- consensus of several assemblies ----
 
 
-def _segments(df: DataFrame, keys: Sequence[str], position: str, tolerance: int, name: str) -> DataFrame:
-    """Number runs of positions whose neighbours are at most ``tolerance`` apart.
+def consensus_cells(
+    transcripts: DataFrame, *, by: Sequence[str] = (), tolerance: int = LABEL_TOLERANCE
+) -> DataFrame:
+    """Target cell (``_gx, _gy``) of every occupied grid cell (``_cx, _cy``).
 
-    The run id is the first position of the run.  Distinct positions are cut into bins
-    of 2^16; a bin knows the last position and last break before it from a scan over
-    bins, so no window holds more than one bin's distinct positions or one contig's bins.
+    Cells are as wide as the tolerance, so transcripts of one cell are within it of each other in both
+    ends.  A cell outranks a neighbour whose mean ends are within the tolerance of its own if
+    it holds more transcripts, or as many at smaller coordinates.  A cell that nothing outranks
+    is a peak; a cell whose highest-ranking neighbour is a peak joins it; any other stands alone.
     """
-    distinct = df.select(*keys, F.col(position).alias("_pos")).distinct()
-    binned = distinct.withColumn("_bin", F.shiftright("_pos", 16))
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_pos")
-    local = binned.withColumn("_lag", F.lag("_pos").over(inside))
-    edges = local.groupBy(*keys, "_bin").agg(F.max("_pos").alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_bin")
-    before = edges.select(*keys, "_bin", F.lag("_last").over(across).alias("_before"))
-    broken = local.join(before, [*keys, "_bin"]).withColumn(
-        "_break",
-        F.expr(
-            f"if(coalesce(_lag, _before) is null or _pos - coalesce(_lag, _before) > {tolerance}, _pos, null)"
-        ),
+    keys = [*by, "chrom", "strand"]
+    cells = (
+        transcripts.where(F.col("strand").isin("+", "-"))
+        .selectExpr(*keys, "tss", "tes", *_cell_columns(tolerance))
+        .groupBy(*keys, "_cx", "_cy")
+        .agg(F.count(F.lit(1)).alias("_n"), F.avg("tss").alias("_mx"), F.avg("tes").alias("_my"))
     )
-    last_break = broken.groupBy(*keys, "_bin").agg(F.max("_break").alias("_lb"))
-    carried = last_break.select(
-        *keys,
-        "_bin",
-        F.last("_lb", ignorenulls=True)
-        .over(across.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_carry"),
+    around = cells.selectExpr(
+        "*", "explode(array(-1, 0, 1)) as _dx"
+    ).selectExpr("*", "explode(array(-1, 0, 1)) as _dy").where("_dx <> 0 or _dy <> 0")
+    a = around.selectExpr(*keys, "_cx", "_cy", "_n", "_mx", "_my", "_cx + _dx as _bx", "_cy + _dy as _by")
+    other = cells.selectExpr(*keys, "_cx as _bx", "_cy as _by", "_n as _bn", "_mx as _bmx", "_my as _bmy")
+    higher = a.join(other, [*keys, "_bx", "_by"]).where(
+        f"abs(_mx - _bmx) <= {tolerance} and abs(_my - _bmy) <= {tolerance} and "
+        "(_bn > _n or (_bn = _n and (_bx < _cx or (_bx = _cx and _by < _cy))))"
     )
-    run = F.coalesce(
-        F.last("_break", ignorenulls=True).over(
-            inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
-        F.col("_carry"),
+    best = higher.groupBy(*keys, "_cx", "_cy").agg(F.expr("max(struct(_bn, -_bx as x, -_by as y)) as _best"))
+    outranked = best.selectExpr(*keys, "_cx as _gx", "_cy as _gy")
+    joins = best.selectExpr(*keys, "_cx", "_cy", "-_best.x as _gx", "-_best.y as _gy").join(
+        outranked, [*keys, "_gx", "_gy"], "left_anti"
     )
-    named = broken.join(carried, [*keys, "_bin"]).select(
-        *keys, F.col("_pos").alias(position), run.alias(name)
+    return cells.join(joins, [*keys, "_cx", "_cy"], "left").selectExpr(
+        *keys, "_cx", "_cy", "coalesce(_gx, _cx) as _gx", "coalesce(_gy, _cy) as _gy"
     )
-    # every round reads its input twice; materialising the runs keeps the plan linear
-    return skew_join(df, cut_lineage(named), [*keys, position], "inner")
 
 
-def consensus_components(
-    transcripts: DataFrame, *, by: Sequence[str] = (), tolerance: int = LABEL_TOLERANCE, rounds: int = 2
-) -> DataFrame:
-    """Split transcripts into parts that no consensus group can span.
-
-    A group centre is a mean of members, so it lies inside their hull and a gap wider
-    than the tolerance, in either coordinate, separates groups.  Alternating the two
-    coordinates for some rounds makes the parts smaller.
-    """
-    keys = [*by, "chrom", "strand"]
-    out = transcripts.where(F.col("strand").isin("+", "-"))
-    for i in range(rounds):
-        for end in ("tss", "tes"):
-            name = f"_{end}{i}"
-            out = _segments(out, keys, end, tolerance, name)
-            keys.append(name)
-    parts = keys[len(by) + 2 :]
-    return out.withColumn("component", F.concat_ws(":", *parts)).drop(*parts)
-
-
-def _assign_groups(tolerance: int, keys: list[str], names: list[str]):
-    """Streaming greedy assignment over partitions sorted by component and order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: tuple | None = None
-        tss = np.empty(0)
-        tes = np.empty(0)
-        size = np.empty(0)
-        used = 0
-        for batch in batches:
-            groups = np.empty(len(batch), dtype=np.int64)
-            labels = list(zip(*[batch[k] for k in keys]))
-            x, y = batch["tss"].to_numpy(float), batch["tes"].to_numpy(float)
-            for i, label in enumerate(labels):
-                if label != current:
-                    current, used = label, 0
-                    tss, tes, size = np.empty(16), np.empty(16), np.empty(16)
-                fits = np.flatnonzero(
-                    (np.abs(tss[:used] - x[i]) <= tolerance) & (np.abs(tes[:used] - y[i]) <= tolerance)
-                )
-                if fits.size:
-                    g = int(fits[0])
-                    size[g] += 1
-                    tss[g] = (tss[g] * (size[g] - 1) + x[i]) / size[g]
-                    tes[g] = (tes[g] * (size[g] - 1) + y[i]) / size[g]
-                else:
-                    if used == len(tss):
-                        tss, tes, size = (np.concatenate([a, np.empty(len(a))]) for a in (tss, tes, size))
-                    g, used = used, used + 1
-                    tss[g], tes[g], size[g] = x[i], y[i], 1
-                groups[i] = g
-            yield batch[names].assign(group_no=groups)
-
-    return run
+def _cell_columns(tolerance: int) -> list[str]:
+    return [f"bigint(floor(tss / {tolerance + 1})) as _cx", f"bigint(floor(tes / {tolerance + 1})) as _cy"]
 
 
 def consensus_groups(
     transcripts: DataFrame, *, by: Sequence[str] = (), tolerance: int = LABEL_TOLERANCE
 ) -> DataFrame:
-    """Assign each transcript to the first group whose running centre is within tolerance.
+    """Assign each transcript to the consensus group (``component``) of its cell.
 
-    ``transcripts`` has ``assembler_id, assembly_ord, file_ord, transcript_id, chrom,
-    strand, tss, tes``; the order is (assembly_ord, file_ord).  The rule depends on
-    that order, so a component is walked in sequence; rows stream through in Arrow
-    batches and only the centres of the current component are kept.
+    ``transcripts`` has ``assembler_id, assembly_ord, file_ord, transcript_id, chrom, strand, tss, tes``.
+    The rule does not depend on the order of the rows: it replaces a greedy walk in file order, whose groups it
+    matches where groups are further apart than the tolerance.  Rows meet by cell, never by locus.
     """
-    keys = [*by, "chrom", "strand", "component"]
-    parts = consensus_components(transcripts, by=by, tolerance=tolerance)
-    ordered = parts.repartition(*keys).sortWithinPartitions(*keys, "assembly_ord", "file_ord")
-    schema = StructType([*ordered.schema.fields, StructField("group_no", LongType())])
-    return ordered.mapInPandas(_assign_groups(tolerance, keys, ordered.columns), schema)
+    keys = [*by, "chrom", "strand", "_cx", "_cy"]
+    placed = transcripts.where(F.col("strand").isin("+", "-")).selectExpr("*", *_cell_columns(tolerance))
+    cells = consensus_cells(transcripts, by=by, tolerance=tolerance)
+    joined = skew_join(placed, cells, keys, "inner")
+    return joined.withColumn("component", F.concat_ws(":", "_gx", "_gy")).select(*transcripts.columns, "component")
 
 
 def consensus_summary(grouped: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """One row per consensus group: mean centre, support, representative, creation order."""
-    keys = [*by, "chrom", "strand", "component", "group_no"]
+    keys = [*by, "chrom", "strand", "component"]
     return grouped.groupBy(*keys).agg(
         F.expr("bigint(bround(avg(tss), 0)) as tss_center"),
         F.expr("bigint(bround(avg(tes), 0)) as tes_center"),

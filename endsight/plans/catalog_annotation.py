@@ -331,7 +331,26 @@ def jon_16_symmetric(spark, sf_dir):
 # ---- consensus ----
 
 
-@query("agg_43_consensus_groups")
+CONSENSUS_SQL = """t as (select *, tss // 51 as cx, tes // 51 as cy from v_assembly where strand in ('+', '-')),
+c as (select chrom, strand, cx, cy, count(*) as n, avg(tss) as mx, avg(tes) as my from t group by all),
+p as (select a.chrom, a.strand, a.cx, a.cy, arg_max(b.cx, (b.n, -b.cx, -b.cy)) as gx, arg_max(b.cy, (b.n, -b.cx, -b.cy)) as gy
+  from c a join c b on a.chrom = b.chrom and a.strand = b.strand and b.cx between a.cx - 1 and a.cx + 1 and b.cy between a.cy - 1 and a.cy + 1
+    and (a.cx <> b.cx or a.cy <> b.cy) and abs(a.mx - b.mx) <= 50 and abs(a.my - b.my) <= 50
+    and (b.n > a.n or (b.n = a.n and (b.cx < a.cx or (b.cx = a.cx and b.cy < a.cy)))) group by all),
+m as (select c.chrom, c.strand, c.cx, c.cy, case when p.gx is null or q.gx is not null then c.cx else p.gx end as gx, case when p.gx is null or q.gx is not null then c.cy else p.gy end as gy
+  from c left join p using (chrom, strand, cx, cy) left join p q on q.chrom = p.chrom and q.strand = p.strand and q.cx = p.gx and q.cy = p.gy),
+g as (select t.chrom, t.strand, gx, gy, round_even(avg(tss), 0)::bigint as tss_center, round_even(avg(tes), 0)::bigint as tes_center, count(distinct assembler_id)::int as support_assemblers,
+    string_agg(distinct assembler_id, ',' order by assembler_id) as assemblers, min((assembler_id, transcript_id)) as rep, min((assembly_ord, file_ord)) as created
+  from t join m using (chrom, strand, cx, cy) group by t.chrom, t.strand, gx, gy)"""
+
+
+@query(
+    "agg_43_consensus_groups",
+    with_views(
+        f"with {CONSENSUS_SQL} select chrom, strand, tss_center, tes_center, support_assemblers, assemblers, rep[2] as transcript_id from g",
+        "v_assembly",
+    ),
+)
 def agg_43(spark, sf_dir):
     groups = N.consensus_groups(view(spark, sf_dir, "v_assembly"))
     return N.consensus_summary(groups).select(
@@ -359,7 +378,20 @@ def jon_11(spark, sf_dir):
     return N.annotation_match(named, annotated_ends(spark, sf_dir))
 
 
-@query("agg_44_novel_select")
+NOVEL_SQL = with_views(
+    f"""with {CONSENSUS_SQL},
+    k as (select *, chrom || '|' || strand || '|' || tss_center || '|' || tes_center as canonical_key, exists (select 1 from v_assembly a where a.assembler_id = 'scallop2'
+      and a.file_ord % 3 = 0 and a.chrom = g.chrom and a.strand = g.strand and abs(a.tss - g.tss_center) <= 50 and abs(a.tes - g.tes_center) <= 50) as ann from g),
+    f as (select *, min(case when support_assemblers >= 2 and not ann then created end) over (partition by canonical_key) as first_created from k),
+    r as (select *, case when support_assemblers < 2 then 'support_below_min' when ann then 'annotation_match' when created <> first_created then 'duplicate_novel_key' end as reason,
+      upper(substr(sha1(canonical_key), 1, 16)) as h from f)
+    select reason, case when reason is null then 'NOVEL_GENE_' || h end as new_gene_id, case when reason is null then 'NOVEL_TX_' || h end as new_transcript_id, chrom, strand, tss_center, tes_center,
+      support_assemblers, assemblers, rep[1] as representative_assembler, rep[2] as representative_transcript_id, canonical_key from r""",
+    "v_assembly",
+)
+
+
+@query("agg_44_novel_select", NOVEL_SQL)
 def agg_44(spark, sf_dir):
     groups = N.consensus_summary(N.consensus_groups(view(spark, sf_dir, "v_assembly")))
     return N.select_novel(groups, annotated_ends(spark, sf_dir)).drop("created")

@@ -14,7 +14,7 @@ from endsight.operators.scale import cut_lineage
 from endsight.functions.contigs import in_train_split
 from endsight.plans import jobs
 from endsight.plans.catalog import query, r6
-from endsight.plans.catalog_annotation import annotated_ends
+from endsight.plans.catalog_annotation import NOVEL_SQL, annotated_ends
 from endsight.plans.catalog_compare import CASE, LONG_SQL, cohorts, runs
 from endsight.plans.catalog_features import READS_SQL, alignments
 from endsight.plans.catalog_sites import SITES_SQL, tx_sites
@@ -406,7 +406,7 @@ def job_04(spark, sf_dir):
     return both.select(*keys, "n", *[r6(c).alias(c) for c in RATES])
 
 
-@query("job_05_augment_reference")
+@query("job_05_augment_reference", NOVEL_SQL)
 def job_05(spark, sf_dir):
     return jobs.augment(view(spark, sf_dir, "v_assembly"), annotated_ends(spark, sf_dir)).drop("created")
 

@@ -69,21 +69,34 @@ def test_nearest_reference(spark):
         assert row.closest_ref_position == best[2] and row.label == int(abs(best[2] - row.position) <= 50)
 
 
-def greedy(rows, tol):
-    groups = []
+def cell_groups(rows, tol):
+    """Groups of the cell rule, cell by cell."""
+    cells = {}
     for t in rows:
-        for g in groups:
-            if g["key"] == (t[4], t[5]) and abs(t[6] - g["x"]) <= tol and abs(t[7] - g["y"]) <= tol:
-                g["ids"].append(t[3])
-                n = len(g["ids"])
-                g["x"], g["y"] = (g["x"] * (n - 1) + t[6]) / n, (g["y"] * (n - 1) + t[7]) / n
-                break
-        else:
-            groups.append({"key": (t[4], t[5]), "x": float(t[6]), "y": float(t[7]), "ids": [t[3]]})
-    return sorted(sorted(g["ids"]) for g in groups)
-
-
-def test_consensus_equals_global_greedy(spark):
+        cells.setdefault((t[4], t[5], t[6] // (tol + 1), t[7] // (tol + 1)), []).append(t)
+    mean = {c: (sum(t[6] for t in ts) / len(ts), sum(t[7] for t in ts) / len(ts)) for c, ts in cells.items()}
+    best = {}
+    for c in cells:
+        near = [
+            d
+            for d in cells
+            if d[:2] == c[:2]
+            and d != c
+            and abs(d[2] - c[2]) <= 1
+            and abs(d[3] - c[3]) <= 1
+            and all(abs(x - y) <= tol for x, y in zip(mean[c], mean[d]))
+            and (len(cells[d]), -d[2], -d[3]) > (len(cells[c]), -c[2], -c[3])
+        ]
+        if near:
+            best[c] = max(near, key=lambda d: (len(cells[d]), -d[2], -d[3]))
+    groups = {}
+    for c, ts in cells.items():
+        target = best[c] if c in best and best[c] not in best else c
+        groups.setdefault(target, []).extend(t[3] for t in ts)
+    return sorted(sorted(g) for g in groups.values())
+
+
+def test_consensus_follows_the_cell_rule(spark):
     rows = []
     for a, asm in enumerate(["x", "y", "z"]):
         for i in range(150):
@@ -92,7 +105,7 @@ def test_consensus_equals_global_greedy(spark):
     df = spark.createDataFrame(
         rows, "assembler_id string, assembly_ord int, file_ord int, transcript_id string, chrom string, strand string, tss bigint, tes bigint"
     )
-    grouped = N.consensus_groups(df, tolerance=50).groupBy("chrom", "strand", "component", "group_no").agg(
+    grouped = N.consensus_groups(df, tolerance=50).groupBy("chrom", "strand", "component").agg(
         F.sort_array(F.collect_list("transcript_id")).alias("ids")
     )
-    assert sorted(list(r.ids) for r in grouped.collect()) == greedy(rows, 50)
+    assert sorted(list(r.ids) for r in grouped.collect()) == cell_groups(rows, 50)
