@@ -163,14 +163,12 @@ def degradation_compare(long: DataFrame) -> DataFrame:
 
 def bonferroni(pvalues: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Corrected level and number of significant tests over a long table of ``pvalue``."""
-    valid = pvalues.where("pvalue between 0 and 1")
-    n = max(valid.count(), 1)
-    return valid.agg(
-        F.lit("bonferroni").alias("method"),
-        F.lit(alpha).alias("original_alpha"),
-        F.lit(alpha / n).alias("corrected_alpha"),
-        F.count(F.lit(1)).alias("n_tests"),
-        F.count_if(F.col("pvalue") < alpha / n).alias("significant_tests"),
+    counted = pvalues.where("pvalue between 0 and 1").groupBy("pvalue").agg(F.count(F.lit(1)).alias("_n"))
+    # one row, joined back to the distinct values
+    total = counted.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all")).withColumn("_level", F.expr(f"{alpha}D / greatest(_all, 1)"))
+    marked = total.join(counted, F.expr("pvalue < _level"), "left")
+    return marked.groupBy("_all", "_level").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_hits")).selectExpr(
+        "'bonferroni' as method", f"{alpha}D as original_alpha", "_level as corrected_alpha", "_all as n_tests", "_hits as significant_tests"
     )
 
 
