@@ -278,8 +278,12 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``_node, _cluster`` of texts that meet another in enough sketches."""
     rows = _keyed(docs, doc_id, text).select("_node", F.expr("transform(_words, w -> xxhash64(w))").alias("_hashes"))
-    # both uses below read this one exchange
-    bands = rows.mapInArrow(_sketched, "_node bigint, _band bigint").repartition("_band")
+    # both uses below read this one exchange; the filter is what the join would add to one of them
+    bands = (
+        rows.mapInArrow(_sketched, "_node bigint, _band bigint")
+        .where("_band is not null and _node is not null")
+        .repartition("_band")
+    )
     firsts = (
         bands.groupBy("_band")
         .agg(F.min("_node").alias("_first"), F.max("_node").alias("_last"))
@@ -299,12 +303,19 @@ def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     )
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verified links (a, b) between keys of different texts, enough to connect each class."""
-    members = clusters(docs, doc_id, text)
-    narrow = _keyed(docs, doc_id, text).select(
-        "_id", "_key", "_node", F.expr("bigint(size(_words))").alias("_size")
+def text_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``_id, _key, _node, _size`` (words) of every row, written once for the steps that follow."""
+    return cut_lineage(
+        _keyed(docs, doc_id, text).select("_id", "_key", "_node", F.expr("bigint(size(_words))").alias("_size"))
     )
+
+
+def links(docs: DataFrame, narrow: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Verified links (a, b) between keys of different texts, enough to connect each class.
+
+    ``narrow`` is :func:`text_keys` of ``docs``.
+    """
+    members = clusters(docs, doc_id, text)
     # one row stands for a text; struct keeps a null identifier usable
     texts = narrow.groupBy("_key", "_node").agg(F.min(F.struct("_id")).alias("_one"), F.max("_size").alias("_size"))
     held = cut_lineage(texts.join(members, "_node").selectExpr("_key", "_one._id as _own", "_size", "_cluster"))
@@ -336,13 +347,9 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, class_id, class_size, kept`` and ``_key``."""
-    narrow = (
-        _keyed(docs, doc_id, text)
-        .select("_id", "_key")
-        .groupBy("_id", "_key")
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    stars = components(links(docs, doc_id, text))
+    keys = text_keys(docs, doc_id, text)
+    narrow = keys.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("_copies"))
+    stars = components(links(docs, keys, doc_id, text))
     texts = narrow.groupBy("_key").agg(F.min(F.expr("struct(_id is null as n, _id)")).alias("_one"), F.sum("_copies").alias("_n"))
     labelled = texts.join(stars.selectExpr("a as _a", "b as _b"), F.expr("_key = _a"), "left").selectExpr(
         "_key", "coalesce(_b, _key) as _class", "_one", "_n"
