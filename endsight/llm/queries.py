@@ -146,6 +146,29 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select(F.col("_id").alias("doc_id"), *bpe.digest_columns())
 
 
+OP3_SQL = """
+with recursive
+steps as materialized (select list(c order by i) as t from (
+  select i, list_reduce(list_prepend(i::bigint, [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+bytes as (select doc_id, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'),
+    lambda h: (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1) as b,
+    coalesce(strlen(text), 0) + 1 as size from documents),
+d as materialized (select doc_id, size::bigint as size,
+    xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, steps.t[(xor(c, x) & 255) + 1])), 4294967295) as crc,
+    row_number() over (order by doc_id nulls first) - 1 as n, count(*) over () as total from bytes, steps),
+m as materialized (select *, ceil(total / ceil(sqrt(total)))::bigint as q, ceil(sqrt(total))::bigint as p from d),
+w as (select doc_id, total, p, q, n // q as l, n % q as r, 0 as i from m
+  union all
+  select doc_id, total, p, q,
+    case when i % 2 = 0 then (l + ('0x' || substr(md5('0:' || i % 6 || ':' || r), 1, 12))::bigint) % p else l end,
+    case when i % 2 = 1 then (r + ('0x' || substr(md5('0:' || i % 6 || ':' || l), 1, 12))::bigint) % q else r end,
+    i + 1 from w where i % 6 <> 0 or i = 0 or l * q + r >= total)
+select m.doc_id, size, crc::bigint as text_crc32, 'rows' as law, ((l * q + r) % 8)::int as shard, ((l * q + r) // 8)::bigint as slot,
+  null::int as grown_shard, n::bigint as row_number
+from m join (select doc_id, l, r from w where i > 0 and i % 6 = 0 and l * q + r < total) using (doc_id)
+"""
+
 OP5_SQL = """
 with c as materialized (
   select doc_id, source, lang,
@@ -191,4 +214,4 @@ QUERIES: dict[str, Query] = {
     "op10_prefix_bpe": op10_prefix_bpe,
 }
 
-ORACLES: dict[str, str] = {"op5_token_rollup": OP5_SQL, "op7_patricia_owners": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_feistel_shards": OP3_SQL, "op5_token_rollup": OP5_SQL, "op7_patricia_owners": OP7_SQL}

@@ -2,7 +2,7 @@
 
 Rows are numbered 0..N-1 by (identifier, hash of the text).  The number is written as a pair of digits
 (left, right) in the mixed radix a x b, with a the ceiling of the square root of N and
-b = ceil(N / a); each round adds a keyed hash of one digit to the other, so every round
+b = ceil(N / a); each round adds a keyed hash (MD5, so that any engine can repeat it) of one digit to the other, so every round
 can be undone and the whole is a permutation of 0..a*b-1.  Numbers that land beyond N
 walk on along their cycle until they fall below it; fewer than a of them start there.
 The place p so found gives shard p % shards and slot p // shards: shard sizes differ by
@@ -28,10 +28,13 @@ WALK = 32
 def feistel(value: str, left: str, right: str, *, seed: int = 0, rounds: int = ROUNDS) -> str:
     """SQL for one application of the permutation of 0..left*right-1 to ``value``."""
     pair = f"named_struct('l', {value} div {right}, 'r', {value} % {right})"
+
+    def keyed_hash(digit: str) -> str:
+        return f"bigint(conv(substr(md5(concat_ws(':', {seed}, i, {digit})), 1, 12), 16, 10))"
+
     step = (
-        f"if(i % 2 = 0, "
-        f"named_struct('l', pmod(s.l + pmod(xxhash64({seed}L, i, s.r), {left}), {left}), 'r', s.r), "
-        f"named_struct('l', s.l, 'r', pmod(s.r + pmod(xxhash64({seed}L, i, s.l), {right}), {right})))"
+        f"if(i % 2 = 0, named_struct('l', (s.l + {keyed_hash('s.r')}) % {left}, 'r', s.r), "
+        f"named_struct('l', s.l, 'r', (s.r + {keyed_hash('s.l')}) % {right}))"
     )
     return f"aggregate(sequence(0, {rounds - 1}), {pair}, (s, i) -> {step}, s -> s.l * {right} + s.r)"
 
