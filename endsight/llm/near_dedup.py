@@ -318,19 +318,23 @@ def links(docs: DataFrame, narrow: DataFrame, doc_id: str = "doc_id", text: str
     members = clusters(docs, doc_id, text)
     # one row stands for a text; struct keeps a null identifier usable
     texts = narrow.groupBy("_key", "_node").agg(F.min(F.struct("_id")).alias("_one"), F.max("_size").alias("_size"))
-    held = cut_lineage(texts.join(members, "_node").selectExpr("_key", "_one._id as _own", "_size", "_cluster"))
+    held = cut_lineage(
+        texts.join(members, "_node").selectExpr("_key", "_node", "_one._id as _own", "_size", "_cluster")
+    )
     blocks = held.groupBy("_cluster").agg(
         F.expr(f"int(greatest(ceil(count(1) / {BLOCK_ROWS}), ceil(sum(_size) * 8 / {BLOCK_BYTES})))").alias("_blocks")
     )
     placed = held.join(blocks, "_cluster").selectExpr(
-        "_key as _member", "_own", "_cluster", "int(pmod(xxhash64(_key, 1), _blocks)) as _block", "_blocks"
+        "_key as _member", "_node as _handle", "_own", "_cluster", "int(pmod(xxhash64(_key, 1), _blocks)) as _block", "_blocks"
     )
-    # only rows that stand for a text go on; their words are hashed after the join
+    # identifier and handle together: rows without an identifier do not all meet
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).cast("string").alias("_text"))
-    chosen = rows.join(placed, F.expr("_id <=> _own"))
+    rows = rows.withColumn("_node", F.expr(f"xxhash64(unhex(md5(array_join({_WORDS.format(text="coalesce(_text, '')")}, ' '))))"))
+    chosen = rows.join(placed, F.expr("_node = _handle and _id <=> _own"))
+    # repeated rows meet within each task before their text travels
+    once = chosen.groupBy("_member", "_cluster", "_block", "_blocks").agg(F.first("_text").alias("_text"))
     hashed = (
-        chosen.select("_member", "_cluster", "_block", "_blocks", _words("_text").alias("_words"))
-        .where("unhex(md5(array_join(_words, ' '))) = _member")
+        once.withColumn("_words", _words("_text"))
         .selectExpr("*", "explode(sequence(0, _blocks - 1)) as _other")
         .selectExpr(
             "_cluster",

@@ -196,6 +196,15 @@ def test_planted_edits(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == brute_classes(rows)
 
 
+def test_rows_without_identifier(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(20)] * 3 + [(1, "quite another text of some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.classes(docs).collect()
+    assert sorted({r.class_size for r in found}) == [1, 60] and sum(r.kept for r in found) == 2
+    assert near_dedup.deduplicate(docs).count() == 2
+
+
 def test_order_counts():
     words = np.arange(1, 401, dtype=np.int64)
     swapped = np.concatenate([words[200:], words[:200]])
