@@ -199,12 +199,13 @@ def label_join(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def ranked_cov_labels(
-    ranked: DataFrame, cov: DataFrame, labels: DataFrame, *, score: str = "pred_prob", abundance: str = "coverage"
+    ranked: DataFrame, cov: DataFrame, labels: DataFrame, *, by: Sequence[str] = (), score: str = "pred_prob", abundance: str = "coverage"
 ) -> DataFrame:
-    """Model score, baseline abundance and label on the same transcripts."""
-    best_score = ranked.groupBy("transcript_id").agg(F.max(known_score(score)).alias(score))
-    best_cov = cov.groupBy("transcript_id").agg(F.max(known_score(abundance)).alias(abundance))
-    return best_score.join(best_cov, "transcript_id").join(labels, "transcript_id")
+    """Model score, baseline abundance and label on the same transcripts of each test (``by``)."""
+    keys = [*by, "transcript_id"]
+    best_score = ranked.groupBy(*keys).agg(F.max(known_score(score)).alias(score))
+    best_cov = cov.groupBy(*keys).agg(F.max(known_score(abundance)).alias(abundance))
+    return best_score.join(best_cov, keys).join(labels, keys)
 
 
 def site_mean_coverage(scored: DataFrame, cov: DataFrame) -> DataFrame:

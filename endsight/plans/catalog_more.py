@@ -18,7 +18,7 @@ from endsight.plans.catalog_annotation import NOVEL_SQL, annotated_ends
 from endsight.plans.catalog_compare import CASE, LONG_SQL, cohorts, runs
 from endsight.plans.catalog_features import READS_SQL, alignments
 from endsight.plans.catalog_sites import SITES_SQL, tx_sites
-from endsight.plans.catalog_transcripts import BED_SQL, COV_SQL, coverage, labels
+from endsight.plans.catalog_transcripts import BED_SQL, COV_SQL, ap_sql, coverage, labels
 from endsight.plans.views import table, view, with_views
 from endsight.sources import reads as RD
 from endsight.sources import tables as TB
@@ -377,11 +377,26 @@ def job_03(spark, sf_dir):
     return jobs.evaluate_sites(scored, coverage(spark, sf_dir), ref)
 
 
-@query("job_03_evaluate_transcripts")
+@query(
+    "job_03_evaluate_transcripts",
+    with_views(
+        f"""with j as (select 'T' || (substr(s.transcript_id, 4)::bigint % 3) as test_id, s.p, c.cov, (m.class_code = '=')::int as label, m.ref_id
+            from (select transcript_id, max(pred_prob) as p from v_score group by 1) s join (select transcript_id, max(coverage) as cov from v_tx group by 1) c using (transcript_id)
+            join v_tmap m on m.qry_id = s.transcript_id),
+        n as (select *, (label = 1 and coalesce(ref_id like 'NOVEL_TX_%', false))::int as novel from j),
+        long as (select test_id || '|model|all' as k, label as y, p as score from n union all select test_id || '|model|novel', novel, p from n
+          union all select test_id || '|baseline|all', label, cov from n union all select test_id || '|baseline|novel', novel, cov from n),
+        {ap_sql('long', 'k', 'y', 'score')}
+        select split_part(k, '|', 1) as test_id, split_part(k, '|', 2) as score_name, split_part(k, '|', 3) as truth, n_items, n_positive, aupr, roc_auc from ap""",
+        "v_tx", "v_score", "v_tmap",
+    ),
+)
 def job_03_tx(spark, sf_dir):
-    cov = view(spark, sf_dir, "v_tx").select("transcript_id", "coverage")
-    ranked = view(spark, sf_dir, "v_score").select("transcript_id", "pred_prob")
-    return jobs.evaluate_transcripts(ranked, cov, labels(spark, sf_dir))
+    test = "concat('T', string(bigint(substring(transcript_id, 4)) % 3)) as test_id"
+    cov = view(spark, sf_dir, "v_tx").selectExpr("transcript_id", "coverage", test)
+    ranked = view(spark, sf_dir, "v_score").selectExpr("transcript_id", "pred_prob", test)
+    out = jobs.evaluate_transcripts(ranked, cov, labels(spark, sf_dir).selectExpr("*", test), by=["test_id"])
+    return out.withColumns({"aupr": r6("aupr"), "roc_auc": r6("roc_auc")})
 
 
 RATES = ("win_rate", "delta_median", "delta_mean", "rel_median")

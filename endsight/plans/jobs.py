@@ -136,15 +136,18 @@ def evaluate_sites(scored: DataFrame, cov: DataFrame, reference: DataFrame, *, b
     return K.average_precision(long, by=[*by, "site_type", "score_name", "truth"], label="y", score="score")
 
 
-def evaluate_transcripts(ranked: DataFrame, cov: DataFrame, labels: DataFrame) -> DataFrame:
-    """Average precision of model and coverage against all and against novel matches."""
-    joined = T.ranked_cov_labels(ranked, cov, labels).withColumn(
+def evaluate_transcripts(ranked: DataFrame, cov: DataFrame, labels: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """Average precision of model and coverage against all and against novel matches.
+
+    All tests go through one pass; ``by`` names the test key, which all three inputs have.
+    """
+    joined = T.ranked_cov_labels(ranked, cov, labels, by=by).withColumn(
         "novel", ((F.col("label") == 1) & S.is_novel(F.col("ref_id"))).cast("int")
     )
     long = joined.selectExpr(
-        "label", "novel", "stack(2, 'model', pred_prob, 'baseline', coverage) as (score_name, score)"
-    ).selectExpr("score_name", "score", "stack(2, 'all', label, 'novel', novel) as (truth, y)")
-    return K.average_precision(long, by=["score_name", "truth"], label="y", score="score")
+        *by, "label", "novel", "stack(2, 'model', pred_prob, 'baseline', coverage) as (score_name, score)"
+    ).selectExpr(*by, "score_name", "score", "stack(2, 'all', label, 'novel', novel) as (truth, y)")
+    return K.average_precision(long, by=[*by, "score_name", "truth"], label="y", score="score")
 
 
 def matched_contig_sweep(matches: DataFrame, reference_exons: DataFrame, train_range: tuple[int, int], *, measure: str = "cov") -> DataFrame:
