@@ -31,8 +31,23 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Rows and bytes of an Arrow batch, unless the session sets its own: texts are long, and a
+#: batch stands several times in a task's memory.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns most operators need, as ``_id`` (bigint) and ``_text`` (string)."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).cast("string").alias("_text"))
 
 

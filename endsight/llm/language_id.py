@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from endsight.llm.common import small_batches
+
 #: Size of the model, longest n-gram, and the count added to each frequency.
 WORDS, GRAMS, LONGEST, ADDED = 50_000, 100_000, 4, 0.5
 #: Words whose scores a worker remembers before it starts afresh.
@@ -179,6 +181,7 @@ def _scored(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id, _lang_pred, _score`` of every row; only the text is looked at."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).cast("string").alias("_text"))
     lists = rows.selectExpr("_id", f"{_WORDS} as _words")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from endsight.llm.common import owned_rows
+from endsight.llm.common import owned_rows, small_batches
 from endsight.operators.scale import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -89,7 +89,7 @@ def sketches(shingles: np.ndarray) -> np.ndarray:
         if n < least or (most is not None and n > most):
             continue
         seeds = mixed((np.arange(count, dtype=np.uint64) + np.uint64(1 + 1000 * c)) * _STEP)
-        rows = max(1, (1 << 21) // n)
+        rows = max(1, (1 << 19) // n)
         for start in range(0, count, rows):
             own = seeds[start : start + rows, None]
             places = np.broadcast_to(np.arange(n), (len(own), n))
@@ -269,6 +269,7 @@ def _words(text: str) -> Column:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``_id, _words, _key`` (digest of the words) and ``_node``, a short handle of the key."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), _words(f"`{text}`").alias("_words"))
     return rows.withColumn("_key", F.expr("unhex(md5(array_join(_words, ' ')))")).withColumn(
         "_node", F.expr("xxhash64(_key)")

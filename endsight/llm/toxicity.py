@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from endsight.llm.common import small_batches
+
 #: Texts per classifier (expected), classifiers, features kept and hash space.
 POSITIVES, UNLABELLED, BAGS, FEATURES, SPACE = 5_000, 10_000, 3, 4096, 1 << 20
 #: A kept feature is this many times as frequent among positives, in at least so many of them.
@@ -87,8 +89,10 @@ class Examples:
 
 def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """Features over-represented among the positives, the most significant first cut, sorted."""
-    p = np.bincount(np.concatenate(positive), minlength=SPACE)
-    u = np.bincount(np.concatenate([*unlabelled, np.zeros(0, dtype=np.int64)]).astype(np.int64), minlength=SPACE)
+    p, u = np.zeros(SPACE), np.zeros(SPACE)
+    for counts, rows in ((p, positive), (u, unlabelled)):
+        for row in rows:  # a row has a feature once
+            counts[row] += 1
     share_p, share_u = p / len(positive), (u + 0.5) / (len(unlabelled) + 1)
     gain = (share_p - share_u) / np.sqrt(share_u / len(positive) + share_u / (len(unlabelled) + 1))
     fit = np.flatnonzero((p >= SUPPORT) & (share_p >= LIFT * share_u) & (gain > 4))
@@ -136,7 +140,7 @@ def _train_bag(prior: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         # a fixed order makes the fit repeatable
         rows = rows.sort_values("_key", kind="stable")
-        sets = [np.asarray(x, dtype=np.int64) for x in rows["_features"]]
+        sets = [np.asarray(x, dtype=np.int32) for x in rows["_features"]]
         is_positive = rows["_positive"].to_numpy()
         positive = [s for s, p in zip(sets, is_positive, strict=True) if p]
         unlabelled = [s for s, p in zip(sets, is_positive, strict=True) if not p]
@@ -214,6 +218,7 @@ def fit(
 
     The class prior is the share of toxic among the labelled rows.
     """
+    small_batches(docs.sparkSession)
     marks = labels.select(F.col(doc_id).cast("bigint").alias("_label_id"), F.col(toxic).cast("int").alias("_toxic"))
     marks = marks.where("_label_id is not null and _toxic is not null").distinct()
     toxic_rows, all_rows = marks.agg(F.expr("count_if(_toxic = 1)"), F.count(F.lit(1))).first()
@@ -248,6 +253,7 @@ def fit(
 
 def scorer(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """Column with the score of ``text``, a column of ``docs``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
