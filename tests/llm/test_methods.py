@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -346,6 +347,15 @@ def test_clean_documents_stay(spark):
     assert kept.where("quality = 1 and not base_failed").selectExpr("avg(int(kept))").first()[0] > 0.98
 
 
+def test_bands_reject_junk(spark):
+    sf = "/root/testdata/sf0.1"
+    judged = entry.queries()["op9_kneser_ney_bands"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    counts = judged.where("not base_failed").groupBy("quality").agg(F.count_if(~F.col("kept")), F.count(F.lit(1)))
+    rejected = {quality_: (n, of) for quality_, n, of in counts.collect()}
+    print(rejected)
+    assert rejected[0][0] > 0.7 * rejected[0][1] and rejected[1][0] < 0.02 * rejected[1][1]
+
+
 # tokens
 
 
