@@ -3,17 +3,19 @@
 A source's rows, in a fixed pseudo-random order, form blocks of ``block_rows``.  Block j of a source of
 weight w may run from slot floor(j / w) and must have run by slot ceil((j + 1) / w);
 earliest deadline first over the released blocks meets every deadline, so at each slot each
-source is less than one block away from its share.  Weights are rounded to multiples of
-1 / ``period``: then the schedule repeats every ``period`` slots, one period is worked out
-once, and the slot of any block of any source follows from its number.  The
-period's table has ``period`` rows whatever the data.
+source is less than one block away from its share.  Weights are whole numbers of 1 / ``SCALE``, so the error of
+rounding stays below a hundredth of a block over ten billion slots.
 
-The target holds until the first source would have to give a block that it lacks.  What the other sources have
-left then follows as a second phase, interleaved in the same way in proportion to what
-is left, so that no row is dropped or repeated.  ``phase`` tells the two apart.
+A phase ends at the slot where a source would have to give a block that it lacks.  The next phase goes on
+with the targets of the sources that have blocks left, renormalised, and counts from its own
+first slot; there is at most one phase per source.  What sources without a target have comes last, in
+proportion to what is left, so that no row is dropped or repeated.  ``phase`` tells them apart.
+
+The driver walks the schedule once, a step per block, and keeps where each stretch of ``period`` slots starts;
+tasks walk the stretches again and write the slots, so the driver never holds the schedule.
 
 Defined cases: a null source is a source of its own; a source without a target, or of
-target 0, only appears in the second phase; null identifiers are ordered first and repeated rows
+target 0, only appears in the last phase; null identifiers are ordered first and repeated rows
 are separate rows; an empty table gives an empty result.  Other columns are carried,
 whatever their names.
 """
@@ -21,15 +23,19 @@ whatever their names.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import itertools
+from collections.abc import Iterable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from endsight.llm.common import numbered
+from endsight.llm.common import numbered, rows_out
 
-#: Rows of a block, slots of a period, and the power of a source's size that is its default weight.
+#: Rows of a block, slots of a stretch, and the power of a source's size that is its default weight.
 BLOCK_ROWS, PERIOD, FLATTEN = 16, 4096, 0.7
+#: Weights are multiples of 1 over this.
+SCALE = 1 << 40
 
 
 def quotas(weights: list[float], period: int) -> list[int]:
@@ -48,40 +54,89 @@ def quotas(weights: list[float], period: int) -> list[int]:
     return slots
 
 
-def one_period(slots: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(slot, source, block, release, deadline) of one period, by earliest deadline first."""
-    period = sum(slots)
+def walk(scale: int, sources: Iterable[tuple[int, int, int]], slot: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(slot, source, block, release, deadline) from ``slot`` on, by earliest deadline first, without end.
 
-    def block(source: int, j: int) -> tuple[int, int, int, int]:
-        q = slots[source]
-        return j * period // q, -(-(j + 1) * period // q), source, j
+    ``sources`` has (source, weight, next block); a weight counts as its part of ``scale``.
+    """
+
+    def block(source: int, weight: int, j: int) -> tuple[int, int, int, int, int]:
+        return j * scale // weight, -(-(j + 1) * scale // weight), source, j, weight
 
-    waiting = [block(s, 0) for s, q in enumerate(slots) if q]
+    waiting = [block(*x) for x in sources]
     heapq.heapify(waiting)
-    ready: list[tuple[int, int, int, int]] = []
-    plan = []
-    for t in range(period):
+    ready: list[tuple[int, int, int, int, int]] = []
+    for t in itertools.count(slot):
         while waiting and waiting[0][0] <= t:
-            release, deadline, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, s, j, release))
-        deadline, s, j, release = heapq.heappop(ready)
-        plan.append((t, s, j, release, deadline))
-        if j + 1 < slots[s]:
-            heapq.heappush(waiting, block(s, j + 1))
-    return plan
+            release, deadline, s, j, weight = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, j, release, weight))
+        deadline, s, j, release, weight = heapq.heappop(ready)
+        yield t, s, j, release, deadline
+        heapq.heappush(waiting, block(s, weight, j + 1))
+
+
+def one_period(slots: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(slot, source, block, release, deadline) of one period, by earliest deadline first."""
+    period = sum(slots)
+    return list(itertools.islice(walk(period, [(s, q, 0) for s, q in enumerate(slots) if q], 0), period))
+
 
+_STRETCH = (
+    "_phase int, _start bigint, _scale bigint, _from bigint, _to bigint, _sources array<int>, "
+    "_weights array<bigint>, _next array<bigint>, _base array<bigint>"
+)
 
-def _first_missing(plan: list[tuple], slots: list[int], blocks: list[int]) -> int:
-    """The first slot whose block its source does not have."""
-    at = {(s, j): t for t, s, j, _, _ in plan}
-    period = len(plan)
-    return min(b // q * period + at[s, b % q] for s, (q, b) in enumerate(zip(slots, blocks, strict=True)) if q)
 
+def stretches(target: list[float], blocks: list[int], period: int) -> Iterator[tuple]:
+    """Rows of ``_STRETCH``: where the walk stands at the first of every ``period`` slots of a phase.
 
-def _used(plan: list[tuple], slots: list[int], source: int, until: int) -> int:
-    """Blocks of a source that the schedule takes in slots below ``until``."""
-    whole, rest = divmod(until, len(plan))
-    return whole * slots[source] + sum(1 for t, s, *_ in plan[:rest] if s == source)
+    A stretch names only the sources that run in it: the others are never chosen there.
+    """
+    base, left, start = [0] * len(blocks), list(blocks), 0
+    for phase in itertools.count(1):
+        if not any(left):
+            return
+        wanted = [w if n else 0.0 for w, n in zip(target, left, strict=True)]
+        weights, scale = (quotas(wanted, SCALE), SCALE) if sum(wanted) > 0 else (left, sum(left))
+        used, first, since = [0] * len(blocks), {}, 0
+
+        def stretch(until: int) -> tuple:
+            names = sorted(first)
+            columns = [[weights[s] for s in names], [first[s] for s in names], [base[s] for s in names]]
+            return phase, start, scale, since, until, names, *columns
+
+        for t, s, j, _, _ in walk(scale, [(s, w, 0) for s, w in enumerate(weights) if w], 0):
+            if t - since == period or j == left[s]:
+                if first:
+                    yield stretch(t)
+                first, since = {}, t
+            if j == left[s]:
+                break
+            first.setdefault(s, j)
+            used[s] = j + 1
+        base = [b + u for b, u in zip(base, used, strict=True)]
+        left = [n - u for n, u in zip(left, used, strict=True)]
+        start += t
+
+
+_PLACES = pa.schema(
+    [("_place", pa.int32()), ("_number", pa.int64()), ("_phase", pa.int32())]
+    + [(c, pa.int64()) for c in ("_release", "_deadline", "_slot")]
+)
+
+
+def places(row: dict) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(source, block, phase, release, deadline, slot) of every slot of a stretch."""
+    base = dict(zip(row["_sources"], row["_base"], strict=True))
+    sources = zip(row["_sources"], row["_weights"], row["_next"], strict=True)
+    steps = itertools.islice(walk(row["_scale"], sources, row["_from"]), row["_to"] - row["_from"])
+    start = row["_start"]
+    for t, s, j, release, deadline in steps:
+        yield s, base[s] + j, row["_phase"], start + release, start + deadline, start + t
+
+
+def _place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from rows_out((x for batch in batches for row in batch.to_pylist() for x in places(row)), _PLACES)
 
 
 def schedule(
@@ -96,7 +151,7 @@ def schedule(
 ) -> DataFrame:
     """``_id, _source, _block, _phase, _release, _deadline, _slot`` of every row.
 
-    The driver sees one count per source, no rows.
+    The driver sees one count per source and walks one step per block; it holds no rows.
     """
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(source).cast("string").alias("_source"))
     shuffled = narrow.withColumn("_key", F.xxhash64(F.lit(seed), "_id"))
@@ -106,66 +161,16 @@ def schedule(
     sizes = rows.where("_block = 0").groupBy("_source").agg(F.max("_rows").alias("n")).collect()
     sizes = sorted(((r[0], r[1]) for r in sizes), key=lambda x: (x[0] is not None, x[0] or ""))
     spark = docs.sparkSession
-    ddl = "_name string, _null boolean, _phase int, _quota bigint, _part bigint, _rel bigint, _dead bigint, _at bigint, _from bigint, _to bigint, _start bigint, _period bigint"
-    plan_rows = []
-    if sizes:
-        blocks = [-(-n // block_rows) for _, n in sizes]
-        target = [float((weights or {}).get(s, 0.0)) if weights else n**FLATTEN for s, n in sizes]
-        period = max(period, 4 * len(sizes))
-        until, used = 0, [0] * len(sizes)
-        if sum(target) > 0:
-            slots = quotas(target, period)
-            plan = one_period(slots)
-            until = _first_missing(plan, slots, blocks)
-            used = [_used(plan, slots, s, until) for s in range(len(sizes))]
-            plan_rows += _plan_rows(sizes, 1, slots, plan, [0] * len(sizes), used, 0)
-        left = [b - u for b, u in zip(blocks, used, strict=True)]
-        if sum(left):
-            slots = quotas([float(x) for x in left], max(min(period, sum(left)), sum(x > 0 for x in left)))
-            plan_rows += _plan_rows(sizes, 2, slots, one_period(slots), used, blocks, until)
-    plan = spark.createDataFrame(plan_rows, ddl)
-    # one row per (source, place in the period): at most two periods of rows
-    spans = plan.select("_name", "_null", "_phase", "_quota", "_from", "_to", "_start", "_period").distinct()
-    in_phase = rows.join(
-        F.broadcast(spans),
-        F.expr("_source <=> if(_null, null, _name) and _block >= _from and _block < _to"),
-    ).drop("_name", "_null")
-    spot = plan.selectExpr("_name as _n", "_null as _x", "_phase as _p", "_part", "_rel", "_dead", "_at")
-    placed = in_phase.join(
-        F.broadcast(spot),
-        F.expr("_source <=> if(_x, null, _n) and _phase = _p and (_block - _from) % _quota = _part"),
-    )
-    base = "_start + (_block - _from) div _quota * _period"
-    return placed.selectExpr(
-        "_id",
-        "_source",
-        "_block",
-        "_phase",
-        f"{base} + _rel as _release",
-        f"{base} + _dead as _deadline",
-        f"{base} + _at as _slot",
+    blocks = [-(-n // block_rows) for _, n in sizes]
+    target = [float((weights or {}).get(s, 0.0)) if weights else n**FLATTEN for s, n in sizes]
+    walked = spark.createDataFrame(list(stretches(target, blocks, period)), _STRETCH)
+    planned = walked.mapInArrow(
+        _place, "_place int, _number bigint, _phase int, _release bigint, _deadline bigint, _slot bigint"
     )
-
-
-def _plan_rows(sizes, phase, slots, plan, start_block, end_block, start) -> list[tuple]:
-    return [
-        (
-            sizes[s][0] or "",
-            sizes[s][0] is None,
-            phase,
-            slots[s],
-            j,
-            release,
-            deadline,
-            t,
-            start_block[s],
-            end_block[s],
-            start,
-            len(plan),
-        )
-        for t, s, j, release, deadline in plan
-        if end_block[s] > start_block[s]
-    ]
+    names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(sizes)], "_i int, _name string")
+    named = rows.join(F.broadcast(names), F.expr("_source <=> _name"))
+    placed = named.join(planned, F.expr("_i = _place and _block = _number"))
+    return placed.select("_id", "_source", "_block", "_phase", "_release", "_deadline", "_slot")
 
 
 def mix(

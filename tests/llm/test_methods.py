@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -267,6 +268,39 @@ def test_schedule_of_documents(spark, documents):
     assert {s: sum(1 for r in rows if r._source == s) for s in per_source} == dict(per_source)
 
 
+def walked(target, blocks, period):
+    names = [x.split()[0] for x in mixing._STRETCH.split(", ")]
+    return [x for row in mixing.stretches(target, blocks, period) for x in mixing.places(dict(zip(names, row, strict=True)))]
+
+
+def test_unrounded_weights_over_many_periods():
+    random_ = random.Random(5)
+    target = [random_.random() ** 3 for _ in range(8)] + [1e-5, 0.0]
+    blocks = [40_000] * 8 + [1, 3]
+    rows = walked(target, blocks, 64)
+    assert sorted((s, j) for s, j, *_ in rows) == [(s, j) for s, n in enumerate(blocks) for j in range(n)]
+    assert [x[-1] for x in rows] == list(range(len(rows)))
+    for _, phase in itertools.groupby(rows, key=lambda x: x[2]):
+        phase = list(phase)
+        left = {s for s, *_ in rows[phase[0][-1] :]}
+        total = sum(target[s] for s in left)
+        counts = collections.Counter()
+        for t, (s, _, _, release, deadline, slot) in enumerate(phase, 1):
+            counts[s] += 1
+            assert release <= slot < deadline
+            if total and t % 7 == 0:
+                assert all(abs(counts[x] - t * target[x] / total) < 1.0001 for x in left)
+
+
+def test_targets_hold_after_a_source_has_run_out(spark):
+    rows = [(i, "a") for i in range(600)] + [(i, "b") for i in range(600, 900)] + [(900, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    found = sorted((r._slot, r._source) for r in mixing.schedule(docs, {"a": 1.0, "b": 1.0, None: 1.0}, block_rows=1, period=16).collect())
+    assert [t for t, _ in found] == list(range(901))
+    counts = collections.Counter(s for _, s in found[:600])
+    assert abs(counts["a"] - counts["b"]) <= 3 and counts[None] == 1
+
+
 # exact copies
 
 
@@ -352,7 +386,6 @@ def test_bands_reject_junk(spark):
     judged = entry.queries()["op9_kneser_ney_bands"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     counts = judged.where("not base_failed").groupBy("quality").agg(F.count_if(~F.col("kept")), F.count(F.lit(1)))
     rejected = {quality_: (n, of) for quality_, n, of in counts.collect()}
-    print(rejected)
     assert rejected[0][0] > 0.7 * rejected[0][1] and rejected[1][0] < 0.02 * rejected[1][1]
 
 
