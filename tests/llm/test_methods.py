@@ -339,6 +339,18 @@ def test_unseen_words_back_off(spark):
     assert not model.word("qqq").any()
 
 
+def test_words_beyond_the_broadcast_count(spark, monkeypatch):
+    rows = [("aba abb bab " * 50, "x", 1), ("qoz", "y", 2), (None, "y", 3), ("qoz aba qozz qozz", "z", 4), ("ñññ", "x", 5)]
+    docs = spark.createDataFrame(rows * 2, "text string, lang string, doc_id long")
+    learn = docs.where("doc_id <= 2")
+    want = sorted(map(tuple, language_id.predict(docs, language_id.fit(learn)).collect()))
+    monkeypatch.setattr(language_id, "WORDS", 2)
+    monkeypatch.setattr(language_id, "GRAMS", 2)
+    found = sorted(map(tuple, language_id.predict(docs, language_id.fit(learn)).collect()))
+    assert (2, "y") in {r[:2] for r in found} and [r[:2] for r in found] == [r[:2] for r in want]
+    assert np.allclose([r[2] for r in found], [r[2] for r in want])
+
+
 # quality
 
 
