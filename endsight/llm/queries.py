@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from endsight.llm import bpe, exact_dedup, language_id, mixing, near_dedup, pii, quality, sharding, token_counts, toxicity
+from endsight.llm import (
+    bpe,
+    exact_dedup,
+    language_id,
+    mixing,
+    near_dedup,
+    periodic_runs,
+    pii,
+    quality,
+    repeated_passages,
+    sharding,
+    spelling,
+    token_counts,
+    toxicity,
+)
 from endsight.llm.common import remainder, shared_folder, table, vocabulary
 from endsight.operators.scale import cut_lineage
 
@@ -146,6 +160,39 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select(F.col("_id").alias("doc_id"), *bpe.digest_columns())
 
 
+def op11_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once repeated strings of 100 bytes are removed."""
+    return repeated_passages.remove_repeats(table(spark, sf_dir, "documents")).selectExpr(
+        "_id as doc_id",
+        "_n_bytes as n_bytes",
+        "_n_removed as n_removed",
+        "bigint(size(_spans)) as n_spans",
+        "sha2(_kept, 256) as kept_sha256",
+    )
+
+
+def op12_qchunk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of at least 7 letters."""
+    docs = table(spark, sf_dir, "documents")
+    return spelling.variants(spelling.words(docs, derive=spelling.dropped_letter))
+
+
+def op13_repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, with the contract's planted ones."""
+    found = periodic_runs.find(table(spark, sf_dir, "documents"), derive=periodic_runs.planted)
+    line = "concat(r.start, ',', r.length, ',', r.period, '\n')"
+    return found.selectExpr(
+        "_id as doc_id",
+        "bigint(size(_runs)) as n_runs",
+        "_best.start as start",
+        "_best.length as length",
+        "_best.period as period",
+        "1000 * _best.length div _best.period as exponent_milli",
+        f"sha2(array_join(transform(_runs, r -> {line}), ''), 256) as runs_sha256",
+        "sha2(_kept, 256) as collapsed_sha256",
+    )
+
+
 OP3_SQL = """
 with recursive
 steps as materialized (select list(c order by i) as t from (
@@ -200,6 +247,49 @@ select doc_id,
 from e window w as (partition by sha order by chars desc, doc_id nulls last)
 """
 
+OP11_SQL = """
+with d as materialized (select doc_id, hex(coalesce(text, '')) as h, strlen(coalesce(text, '')) as n from documents),
+q as materialized (select doc_id, n, f, substr(h, 2 * f + 1, 2200) as h from (select *, unnest(range(0, n, 1000)) as f from d)),
+p as (select doc_id, n, f, h, unnest(range(least(1000, n - f))) as j from q),
+w as materialized (select doc_id, f + j as i, case when f + j + 100 <= n then md5_number(substr(h, 2 * j + 1, 200)) end as b, substr(h, 2 * j + 1, 2) as x from p),
+m as (select b, min((doc_id, i)) as first from w where b is not null group by b),
+r as (select doc_id, i, x, coalesce(first <> (doc_id, i), false) as later from w left join m using (b)),
+c as (select doc_id, i, x, coalesce(bool_or(later) over (partition by doc_id order by i rows between 99 preceding and current row), false) as gone from r),
+o as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from c),
+k as (select doc_id, count_if(gone) as n_removed, count_if(opens) as n_spans,
+  coalesce(string_agg(x, '' order by i) filter (not gone), '') as kept from o group by doc_id)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join k using (doc_id)
+"""
+
+OP12_SQL = r"""
+with recursive
+steps as materialized (select list(c order by i) as t from (
+  select i, list_reduce(list_prepend(i::bigint, [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+u as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+g as materialized (select doc_id, run, count(*) as n from u group by all),
+b as (select *, list_transform(regexp_extract_all(hex(coalesce(doc_id::varchar, '') || ':' || run), '..'),
+  lambda h: (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1) as b from g),
+h as (select run, n, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, steps.t[(xor(c, x) & 255) + 1])), 4294967295) as h
+  from b, steps),
+e as (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, n from h),
+w as materialized (select word, sum(n)::bigint as n from e where length(word) >= 7 group by word having sum(n) >= 2),
+x as materialized (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as cut from (select word, n, unnest(range(length(word))) as i from w)),
+near as (select a.word, b.word as near, b.n as near_n from x a join x b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+  union select x.word, w.word, w.n from x join w on x.cut = w.word
+  union select w.word, x.word, x.n from x join w on x.cut = w.word),
+best as (select word, count(*) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from near group by word),
+f as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * n then near end as form,
+  case when near_n >= 10 * n then near_n end as form_n from w left join best using (word)),
+walk as (select word, word as root, form as next from f
+  union all select walk.word, f.word, f.form from walk join f on f.word = walk.next)
+select f.word, f.form, walk.root, f.n, f.n_near::bigint as n_near, f.form_n
+from f join walk on f.word = walk.word and walk.next is null
+"""
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
@@ -212,6 +302,15 @@ QUERIES: dict[str, Query] = {
     "op8_word_backoff": op8_word_backoff,
     "op9_kneser_ney_bands": op9_kneser_ney_bands,
     "op10_prefix_bpe": op10_prefix_bpe,
+    "op11_prefix_free_parsing": op11_prefix_free_parsing,
+    "op12_qchunk_variants": op12_qchunk_variants,
+    "op13_repair_runs": op13_repair_runs,
 }
 
-ORACLES: dict[str, str] = {"op3_feistel_shards": OP3_SQL, "op5_token_rollup": OP5_SQL, "op7_patricia_owners": OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op3_feistel_shards": OP3_SQL,
+    "op5_token_rollup": OP5_SQL,
+    "op7_patricia_owners": OP7_SQL,
+    "op11_prefix_free_parsing": OP11_SQL,
+    "op12_qchunk_variants": OP12_SQL,
+}
