@@ -10,7 +10,9 @@ end stand together: they see the phrase and what follows, their context.
 
 Dictionary.  Spark gathers contexts by their trigger.  A trigger with one context everywhere needs no further look: the first
 of its copies stays, all strings of the others go.  Where a trigger has several contexts (the edges of a shared passage, an
-edited copy), the first copy of each goes on to the ordering; strings without a trigger do so too.  Copies inside a block of texts meet
+edited copy), the first copy of each goes on to the ordering, with those of its strings that can be shared: contexts of a trigger are
+sorted by short hashes of ever longer text before it, and after it, and neighbours show how far any other context agrees.
+Strings without a trigger go on too.  Copies inside a block of texts meet
 before anything travels and become one range per document, so a group of copies of any size costs a row per document.
 
 Order.  Within a block of texts the suffix array of the dictionary (suffixes of distinct phrases) and that of the parse (what
@@ -26,19 +28,24 @@ trigger and 64 bits for the rest.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from endsight.llm.common import keyed
+from endsight.operators.scale import cut_lineage
 
 #: Bytes of a repeated string, of a hashed gram, and on either side of a trigger.
 SPAN, GRAM, REACH = 100, 8, 16
 #: Bytes that decide whether a place is a trigger.
 TRIGGER = GRAM + 2 * REACH
+#: Bytes by which levels of the text before and after a trigger grow, and their number.
+LEVEL, LEVELS = 15, 4
 #: Bytes and candidate strings that a task works on together.
 BLOCK_BYTES, BLOCK_STRINGS = 2 << 20, 1 << 19
 #: Codes in the low byte of a place: strings that go as a whole, and strings without a trigger.
@@ -99,8 +106,9 @@ def triggers(block: Block) -> np.ndarray:
 
 
 def contexts(block: Block) -> tuple[np.ndarray, ...]:
-    """Strings of a block in groups: (text, first start, number, distance of the trigger or PLAIN, trigger hash, context hash).
+    """Strings of a block in groups: (text, first start, number, distance of the trigger or PLAIN, hashes of trigger, context, sides).
 
+    ``sides`` has a byte for each level of the text before the trigger, then of that after it, the shortest first.
     Groups without a trigger have hashes of no meaning.
     """
     at = triggers(block)
@@ -135,6 +143,13 @@ def contexts(block: Block) -> tuple[np.ndarray, ...]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * powers[:-1], dtype=np.uint64)])
     shape = (at - first).astype(np.uint64) * np.uint64(1 << 20) + (final - first).astype(np.uint64)
     context = mixed((sums[final + SPAN] - sums[first]) * back[first] + mixed(shape * _STEP))
+    sides = np.zeros(len(at), dtype=np.uint64)
+    for before in (True, False):
+        for level in range(1, LEVELS + 1):
+            low, high = (at - LEVEL * level, at) if before else (at, at + TRIGGER + LEVEL * level)
+            inside = (low >= block.begins[text]) & (high <= block.ends[text])
+            low, high = np.where(inside, low, 0), np.where(inside, high, 0)
+            sides = (sides << np.uint64(8)) | (mixed((sums[high] - sums[low]) * back[low]) >> np.uint64(56))
     return (
         np.concatenate([text, gap_text]),
         np.concatenate([first, gap_first]),
@@ -142,10 +157,11 @@ def contexts(block: Block) -> tuple[np.ndarray, ...]:
         np.concatenate([at - first, np.full(len(gap_text), PLAIN)]),
         np.concatenate([trigger, mixed(gap_first.astype(np.uint64) * _STEP)]),
         np.concatenate([context, np.zeros(len(gap_text), np.uint64)]),
+        np.concatenate([sides, np.zeros(len(gap_text), np.uint64)]),
     )
 
 
-_CONTEXT = pa.schema([(c, pa.int64()) for c in ("_trigger", "_context", "_doc", "_tie", "_at", "_size")])
+_CONTEXT = pa.schema([(c, pa.int64()) for c in ("_trigger", "_context", "_sides", "_doc", "_tie", "_at", "_size")])
 _CONTEXT_DDL = ", ".join(f"{c} bigint" for c in _CONTEXT.names)
 
 
@@ -168,7 +184,7 @@ def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
 
 def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
-        text, first, size, distance, trigger, context = contexts(block)
+        text, first, size, distance, trigger, context, sides = contexts(block)
         place = first - block.begins[text]
         rank = block.ranks[text]
         order = np.lexsort((place, rank, context, trigger))
@@ -193,6 +209,7 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [
             np.where(special, alone, trigger[rows]).view(np.int64),
             context[rows].view(np.int64),
+            np.where(special, 0, sides[rows]).view(np.int64),
             block.docs[text[rows]],
             block.ties[text[rows]],
             (place[rows] << 8) | kind,
@@ -303,7 +320,7 @@ def _classes(block: Block, groups: list[tuple[int, int, int, int]]) -> pa.Record
 
 
 def _ordered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes of the strings that need ordering, of rows (_doc, _tie, _text, _open)."""
+    """Classes of the strings that need ordering, of rows (_doc, _tie, _packed, _open)."""
     docs, ties, texts, groups = [], [], [], []
     weight = strings = 0
 
@@ -321,7 +338,7 @@ def _ordered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 strings += group["size"]
             docs.append(columns[0][i].as_py())
             ties.append(columns[1][i].as_py())
-            texts.append(columns[2][i].as_py().encode())
+            texts.append(zlib.decompress(columns[2][i].as_py()))
             weight += len(texts[-1])
             if weight >= BLOCK_BYTES or strings >= BLOCK_STRINGS:
                 yield from out()
@@ -350,12 +367,12 @@ def cut(data: bytes, first: np.ndarray, size: np.ndarray) -> tuple[list[tuple[in
 
 
 def _finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of rows (_id, _text, _copy, _ranges, _starts)."""
+    """Results of rows (_id, _packed, _copy, _ranges, _starts)."""
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part, rows = batch.slice(start, 256), []
-            for doc, text, copy, ranges, starts in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                data = text.encode()
+            for doc, packed, copy, ranges, starts in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                data = zlib.decompress(packed)
                 if copy > 1:
                     first, size = np.zeros(1, np.int64), np.array([len(data) - SPAN + 1])
                 else:
@@ -368,6 +385,62 @@ def _finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KEPT.types, strict=True)], schema=_KEPT)
 
 
+@F.arrow_udf(BinaryType())
+def packed(texts: pa.Array) -> pa.Array:
+    """Texts as they travel."""
+    return pa.array((zlib.compress(t.as_py().encode(), 1) for t in texts), pa.binary())
+
+
+def _agrees(column: str, order: str) -> str:
+    """Levels in which ``column`` (a byte a level) agrees with a neighbour in ``order``, -1 without one."""
+    levels = []
+    for other in ("lag", "lead"):
+        value = f"{other}({column}) over ({order})"
+        steps = " ".join(f"when shiftright({column}, {8 * (LEVELS - 1 - k)}) <> shiftright({value}, {8 * (LEVELS - 1 - k)}) then {k}" for k in range(LEVELS))
+        levels.append(f"case when {value} is null then -1 {steps} else {LEVELS} end")
+    return f"greatest({', '.join(levels)})"
+
+
+def open_groups(rows: DataFrame) -> DataFrame:
+    """Per document of ``rows`` (_doc, _tie, _text) the groups of strings that go and those that need ordering: ``_groups``."""
+    parsed = rows.mapInArrow(_parsed, _CONTEXT_DDL).repartition("_trigger")
+    own = "partition by _trigger, _context order by _doc, _tie, _at"
+    judged = parsed.selectExpr(
+        "*",
+        "_at & 255 as _kind",
+        f"first(struct(_doc, _tie, _at)) over ({own}) <> struct(_doc, _tie, _at) as _again",
+        "min(_context) over (partition by _trigger) <> max(_context) over (partition by _trigger) as _several",
+    )
+    # copies are set apart, so that neighbours are other contexts
+    marked = judged.where(f"_kind >= {GONE} or _again or _several").selectExpr(
+        "_trigger",
+        "_doc",
+        "_tie",
+        "_at",
+        "_size",
+        "_kind",
+        f"_kind = {GONE} or (_kind < {GONE} and _again) as _goes",
+        "shiftright(_sides, 32) & 4294967295L as _left",
+        "_sides & 4294967295L as _right",
+    )
+    levelled = marked.selectExpr(
+        "*",
+        f"{_agrees('_left', 'partition by _trigger, _goes order by _left')} as _before",
+        f"{_agrees('_right', 'partition by _trigger, _goes order by _right')} as _after",
+    )
+    # a string at distance d needs d bytes before the trigger and SPAN - d after it
+    far = f"if(_before < {LEVELS}, least(_kind, {LEVEL} * (_before + 1) - 1), _kind)"
+    near = f"greatest(_kind - _size + 1, {SPAN - TRIGGER - LEVEL + 1} - {LEVEL} * _after)"
+    ranged = levelled.selectExpr("*", f"{far} as _far", f"{near} as _near").selectExpr(
+        "_doc",
+        "_tie",
+        f"""case when _goes then struct((_at & ~255L) | {GONE} as at, _size as size)
+          when _kind = {PLAIN} then struct(_at as at, _size as size)
+          when _far >= _near then struct(shiftleft(shiftright(_at, 8) + _kind - _far, 8) | _far as at, _far - _near + 1 as size) end as _group""",
+    )
+    return ranged.where("_group is not null").groupBy("_doc", "_tie").agg(F.collect_set("_group").alias("_groups"))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``_id, _n_bytes, _n_removed, _spans`` (start, end in bytes) and ``_kept`` (bytes)."""
     rows = keyed(docs, doc_id, text).withColumns(
@@ -384,39 +457,27 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "encode(_text, 'UTF-8') as _kept",
     )
     long = rows.where(f"octet_length(_text) >= {SPAN}")
+    groups = cut_lineage(open_groups(long.select("_doc", "_tie", "_text")))
+    travelling = long.select("_id", "_doc", "_tie", packed("_text").alias("_packed"))
 
-    parsed = long.select("_doc", "_tie", "_text").mapInArrow(_parsed, _CONTEXT_DDL).repartition("_trigger")
-    own = "partition by _trigger, _context order by _doc, _tie, _at"
-    judged = parsed.selectExpr(
-        "*",
-        "_at & 255 as _kind",
-        f"first(struct(_doc, _tie, _at)) over ({own}) <> struct(_doc, _tie, _at) as _later",
-        "min(_context) over (partition by _trigger) <> max(_context) over (partition by _trigger) as _several",
-    )
-    marked = judged.where(f"_kind >= {GONE} or _later or _several").selectExpr(
-        "_doc",
-        "_tie",
-        f"struct(if(_kind <> {PLAIN} and _later, (_at & ~255L) | {GONE}, _at) as at, _size as size) as _group",
-    )
-    groups = marked.groupBy("_doc", "_tie").agg(F.collect_set("_group").alias("_groups"))
-    joined = long.join(groups, ["_doc", "_tie"], "left")
-
-    opened = joined.selectExpr("_doc", "_tie", "_text", f"filter(_groups, g -> (g.at & 255) <> {GONE}) as _open")
-    classes = opened.where("size(_open) > 0").mapInArrow(_ordered, _CLASS_DDL).repartition("_high", "_low")
+    some = groups.selectExpr("_doc", "_tie", f"filter(_groups, g -> (g.at & 255) <> {GONE}) as _open").where("size(_open) > 0")
+    opened = travelling.join(some, ["_doc", "_tie"]).select("_doc", "_tie", "_packed", "_open")
+    classes = opened.mapInArrow(_ordered, _CLASS_DDL).repartition("_high", "_low")
     same = "partition by _high, _low order by _doc, _tie, _at"
     here = "named_struct('doc', _doc, 'tie', _tie, 'at', _at)"
     repeats = classes.selectExpr(
-        "_others", f"{here} as _here", f"first({here}) over ({same}) <> {here} as _later"
-    ).selectExpr("inline(if(_later, concat(_others, array(_here)), _others))")
-    starts = repeats.groupBy("doc", "tie").agg(F.collect_set("at").alias("_starts")).selectExpr("doc as _doc", "tie as _tie", "_starts")
+        "_others", f"{here} as _here", f"first({here}) over ({same}) <> {here} as _again"
+    ).selectExpr("inline(if(_again, concat(_others, array(_here)), _others))")
+    starts = cut_lineage(
+        repeats.groupBy("doc", "tie").agg(F.collect_set("at").alias("_starts")).selectExpr("doc as _doc", "tie as _tie", "_starts")
+    )
+
+    gone = groups.selectExpr("_doc", "_tie", f"filter(_groups, g -> (g.at & 255) = {GONE}) as _ranges")
+    removals = gone.join(starts, ["_doc", "_tie"], "full")
     finished = (
-        joined.join(starts, ["_doc", "_tie"], "left")
+        travelling.join(removals, ["_doc", "_tie"], "left")
         .selectExpr(
-            "_id",
-            "_text",
-            "row_number() over (partition by _doc, _tie order by _doc) as _copy",
-            f"filter(_groups, g -> (g.at & 255) = {GONE}) as _ranges",
-            "_starts",
+            "_id", "_packed", "row_number() over (partition by _doc, _tie order by _doc) as _copy", "_ranges", "_starts"
         )
         .mapInArrow(_finished, _KEPT_DDL)
     )
