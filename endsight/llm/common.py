@@ -45,6 +45,26 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, value)
 
 
+#: Spark's setting that removes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written once to the shared folder, with the shuffle files behind them removed.
+
+    For steps whose shuffles are large and whose result is small.
+    """
+    from endsight.operators.scale import cut_lineage
+
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return cut_lineage(df.select("*"))  # the setting holds for plans made under it
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns most operators need, as ``_id`` (bigint) and ``_text`` (string)."""
     small_batches(docs.sparkSession)

@@ -37,8 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from endsight.llm.common import keyed
-from endsight.operators.scale import cut_lineage
+from endsight.llm.common import keyed, settled
 
 #: Bytes of a repeated string, of a hashed gram, and on either side of a trigger.
 SPAN, GRAM, REACH = 100, 8, 16
@@ -457,7 +456,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "encode(_text, 'UTF-8') as _kept",
     )
     long = rows.where(f"octet_length(_text) >= {SPAN}")
-    groups = cut_lineage(open_groups(long.select("_doc", "_tie", "_text")))
+    groups = settled(open_groups(long.select("_doc", "_tie", "_text")))
     travelling = long.select("_id", "_doc", "_tie", packed("_text").alias("_packed"))
 
     some = groups.selectExpr("_doc", "_tie", f"filter(_groups, g -> (g.at & 255) <> {GONE}) as _open").where("size(_open) > 0")
@@ -468,7 +467,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     repeats = classes.selectExpr(
         "_others", f"{here} as _here", f"first({here}) over ({same}) <> {here} as _again"
     ).selectExpr("inline(if(_again, concat(_others, array(_here)), _others))")
-    starts = cut_lineage(
+    starts = settled(
         repeats.groupBy("doc", "tie").agg(F.collect_set("at").alias("_starts")).selectExpr("doc as _doc", "tie as _tie", "_starts")
     )
 
