@@ -23,7 +23,7 @@ from endsight.operators.compare import numeric_features
 from endsight.operators.ranking import average_precision, classification_metrics, rank_index
 from endsight.operators.scale import skew_join
 
-# Seed and default sizes of the three models, columns that are never features.
+# Seed and default sizes of the three models.
 SEED = 42
 FOREST = {"numTrees": 300, "maxDepth": 30, "featureSubsetStrategy": "sqrt"}
 BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
@@ -31,18 +31,17 @@ RANKER = {
     "maxIter": 300, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 0.7,
     "featureSubsetStrategy": "0.7", "minInstancesPerNode": 20,
 }
-NON_FEATURES = (
-    "transcript_id", "gene_id", "ref_id", "assembler_id", "assembly_id", "sample", "site_id", "site_type",
-    "chrom", "position", "strand", "chrom_num", "tss_chrom", "tss_pos", "tes_chrom", "tes_pos",
-    "chrom_tss", "position_tss", "strand_tss", "site_type_tss", "chrom_tes", "position_tes", "strand_tes", "site_type_tes",
-    "read_strand", "label", "label_tss", "label_tes",
-)
+# Numbers that say where a site lies or what is to be learned, also with the suffix of a transcript's end.
+PLACES = {"position", "tss_pos", "tes_pos", "chrom_num"}
+TARGET = "label"
 NUMERIC = {"int", "bigint", "double", "float", "smallint", "tinyint"}
 
 
 def feature_names(df: DataFrame) -> list[str]:
-    """Numeric columns that are neither ids, coordinates nor labels."""
-    return [c for c, t in df.dtypes if t in NUMERIC and c not in NON_FEATURES]
+    """Numeric columns that are neither places nor labels; ids are text and never among them."""
+    known = PLACES | {TARGET}
+    stem = {c: c.removesuffix("_tss").removesuffix("_tes") for c in df.columns}
+    return [c for c, t in df.dtypes if t in NUMERIC and c not in known and stem[c] not in known]
 
 
 @dataclass
@@ -53,8 +52,19 @@ class Classifier:
     pipeline: PipelineModel | None
     constant: float = 0.0
 
+    def contract(self, df: DataFrame) -> tuple[list[str], list[str]]:
+        """Features of the model that ``df`` lacks, and numeric columns of ``df`` that the model does not know."""
+        return (
+            [f for f in self.features if f not in df.columns],
+            [c for c in feature_names(df) if c not in self.features],
+        )
+
     def score(self, df: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
-        """``keep`` columns and the probability of class 1."""
+        """``keep`` columns and the probability of class 1.
+
+        Features are taken by name: their order in ``df`` does not matter, further columns are left
+        out, and a missing one counts as 0 (see ``contract``).
+        """
         if self.pipeline is None:
             return df.select(*keep, F.lit(self.constant).alias(column))
         rows = numeric_features(df, self.features, keep=[k for k in keep if k not in self.features])
@@ -95,16 +105,19 @@ def _estimator(kind: str, params: dict):
 
 
 def fit(train: DataFrame, features: Sequence[str], *, kind: str, params: dict | None = None) -> Classifier:
-    """Fit one model on ``label`` 0/1; the forest weighs classes by ``n / (2 * n_class)``."""
-    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    """Fit one model on ``label`` 0/1; the forest weighs classes by ``n / (2 * n_class)``.
+
+    Rows without a label are not learned from.
+    """
+    train = train.where("label is not null")
+    ones, zeros = train.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") != 1)).first()
+    if not ones + zeros:
         raise ValueError("no training rows")
-    if len(counts) < 2:
-        return Classifier(list(features), None, 1.0 if 1 in counts else 0.0)
-    total = sum(counts.values())
+    if not ones or not zeros:
+        return Classifier(list(features), None, 1.0 if ones else 0.0)
+    total = ones + zeros
     rows = numeric_features(train, features, keep=["label"]).withColumn(
-        "_weight",
-        F.when(F.col("label") == 1, total / (2 * counts[1])).otherwise(total / (2 * counts[0])),
+        "_weight", F.when(F.col("label") == 1, total / (2 * ones)).otherwise(total / (2 * zeros))
     )
     stages = [VectorAssembler(inputCols=list(features), outputCol="features"), _estimator(kind, params or {})]
     return Classifier(list(features), Pipeline(stages=stages).fit(rows))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows of one join key that a single task may receive before the key is split.
@@ -22,20 +22,24 @@ LEVEL_BITS = 2
 LEVELS = 8
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint and return the materialised rows.
-
-    The folder is the session's checkpoint folder or the one named by ``spark.checkpoint.dir``.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named by ``spark.checkpoint.dir``, or the session's own."""
     context = spark.sparkContext
+    shared = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
+        or context.getCheckpointDir()
+    )
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    return shared.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint and return the materialised rows."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-            "spark.checkpoint.dir"
-        )
-        if shared is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from endsight.operators import models as M
@@ -10,7 +12,7 @@ from endsight.operators import sites as S
 from endsight.operators import softclips as P
 from endsight.operators import transcripts as T
 from endsight.operators.features import SITE, FeatureConfig, site_features
-from endsight.operators.scale import cut_lineage
+from endsight.operators.scale import cut_lineage, shared_folder
 from endsight.functions.contigs import in_train_split
 from endsight.plans import jobs
 from endsight.plans.catalog import query, r6
@@ -348,6 +350,86 @@ def mlo_10(spark, sf_dir):
     return M.validation_metrics(held, "p", ["is_test"])
 
 
+POOL_SQL = f"""pool as (select assembler_id as assembly_id, 'TX.' || file_ord as transcript_id, chrom, strand, tss as tx_start, tes as tx_end, file_ord, assembly_ord from v_assembly),
+  lab as (select p.assembly_id, p.transcript_id, (m.class_code = '=')::int as label from pool p join v_tmap m on m.qry_id = 'TX.' || (p.file_ord + p.assembly_ord)),
+  site as (select assembly_id, transcript_id, 'TSS' as site_type, chrom, strand, case when strand = '+' then tx_start + 1 else tx_end end as position from pool
+    union all select assembly_id, transcript_id, 'TES', chrom, strand, case when strand = '+' then tx_end else tx_start + 1 end from pool)"""
+
+
+def pool(spark, sf_dir):
+    """Transcripts, coverage and labels of three assemblies that use the same transcript ids."""
+    tx = view(spark, sf_dir, "v_assembly").selectExpr(
+        "assembler_id as assembly_id", "concat('TX.', file_ord) as transcript_id", "chrom", "strand", "tss as start", "tes as end",
+        "double(file_ord % 97 + assembly_ord) as coverage", "file_ord + assembly_ord as other",
+    )
+    exons = view(spark, sf_dir, "v_exon").join(tx.select("assembly_id", "transcript_id"), "transcript_id")
+    scoped = F.concat_ws("|", "assembly_id", "transcript_id")
+    cov = T.coverage_table(
+        tx.withColumn("transcript_id", scoped), exons.withColumn("transcript_id", scoped), exon_start="exon_start", exon_end="exon_end"
+    )
+    parts = F.split("transcript_id", "[|]")
+    cov = cov.withColumns({"assembly_id": parts[0], "transcript_id": parts[1]})
+    marks = view(spark, sf_dir, "v_tmap").selectExpr("bigint(substring(qry_id, 4)) as other", "int(class_code = '=') as label")
+    return tx.drop("coverage", "other"), cov, tx.join(marks, "other").select("assembly_id", "transcript_id", "label")
+
+
+@query(
+    "mlo_07_pooled_training",
+    with_views(
+        f"""with {POOL_SQL},
+        s as (select assembly_id, count(*) as sites, count(distinct transcript_id) as transcripts from site group by 1),
+        r as (select assembly_id, count(*) as ranked, sum(label)::bigint as matched from lab group by 1)
+        select assembly_id, backend, sites, transcripts, ranked, matched from s join r using (assembly_id), (values ('rf'), ('xgb')) b(backend)""",
+        "v_assembly", "v_tmap",
+    ),
+)
+def mlo_07(spark, sf_dir):
+    tx, cov, marks = pool(spark, sf_dir)
+    trained = jobs.train_pooled(tx, cov, alignments(spark, sf_dir), view(spark, sf_dir, "v_ref_site"), marks, SMALL)
+    sites = trained.scored.where("p_site_rf between 0 and 1 and p_site_xgb between 0 and 1").groupBy("assembly_id").agg(
+        F.count(F.lit(1)).alias("sites"), F.count_distinct("transcript_id").alias("transcripts")
+    )
+    ranked = trained.ranked.where("pred_prob between 0 and 1").groupBy("assembly_id", "backend").agg(
+        F.count(F.lit(1)).alias("ranked"), F.sum("label").alias("matched")
+    )
+    return ranked.join(sites, "assembly_id").select("assembly_id", "backend", "sites", "transcripts", "ranked", "matched")
+
+
+@query(
+    "mlo_11_pretrained_models",
+    with_views(
+        f"""with {SITES_SQL} select site_type, count(*) as sites, 0::bigint as rf_differ, 0::bigint as xgb_differ, 0::bigint as out_of_range
+        from site where substr(transcript_id, 4)::bigint % 2 = 1 group by 1""",
+        "v_tx",
+    ),
+)
+def mlo_11(spark, sf_dir):
+    """Models of one sample (even transcripts) written, read again and applied to another (odd ones), whose columns stand in another order."""
+    rows = site_training(spark, sf_dir)
+    even = F.substring("transcript_id", 4, 20).cast("bigint") % 2 == 0
+    names = M.feature_names(rows)
+    fitted = {
+        (t, b): M.fit(rows.where(even & (F.col("site_type") == t)), names, kind=b, params=p)
+        for t in S.SITE_TYPES
+        for b, p in (("rf", FOREST), ("xgb", BOOSTED))
+    }
+    models = jobs.Models(fitted, {b: fitted["TSS", b] for b in jobs.BACKENDS})
+    folder = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    jobs.save_models(models, folder, spark)
+    other = rows.where(~even)
+    before = M.score_sites(other, models.site_models)
+    shuffled = other.select(*sorted(other.columns, reverse=True)).withColumn("further", F.lit(1))
+    after = M.score_sites(shuffled, jobs.load_models(folder, spark).site_models)
+    keys = list(M.SITE_KEYS)
+    both = before.join(after.withColumnsRenamed({"p_site_rf": "q_rf", "p_site_xgb": "q_xgb"}), keys)
+    return both.groupBy("site_type").agg(
+        F.count(F.lit(1)).alias("sites"),
+        F.expr("count_if(p_site_rf <> q_rf) as rf_differ"),
+        F.expr("count_if(p_site_xgb <> q_xgb) as xgb_differ"),
+        F.expr("count_if(not (p_site_rf between 0 and 1 and p_site_xgb between 0 and 1)) as out_of_range"),
+    )
+
+
 SMALL = jobs.JobConfig(forest=FOREST, boosted=BOOSTED, ranker=BOOSTED)
 
 
@@ -366,8 +448,16 @@ def job_01(spark, sf_dir):
 
 @query("job_02_predict")
 def job_02(spark, sf_dir):
-    tx, trained = _train(spark, sf_dir)
-    return jobs.predict(tx, coverage(spark, sf_dir), alignments(spark, sf_dir), trained, SMALL)[1]
+    """Models trained on one sample, written, read again and applied to the transcripts of an assembly of another."""
+    folder = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    jobs.save_models(_train(spark, sf_dir)[1], folder, spark)
+    tx, cov, _ = pool(spark, sf_dir)
+    other = "assembly_id = 'isoquant'"
+    scored, ranked = jobs.predict(
+        tx.where(other).drop("assembly_id"), cov.where(other).drop("assembly_id"), alignments(spark, sf_dir), jobs.load_models(folder, spark), SMALL
+    )
+    sites = scored.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("sites"), F.max("p_site_rf").alias("p_site_rf"), F.max("p_site_xgb").alias("p_site_xgb"))
+    return ranked.join(sites, "transcript_id")
 
 
 @query("job_03_evaluate")

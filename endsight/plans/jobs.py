@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from endsight.functions.contigs import in_train_split
@@ -34,11 +34,17 @@ class JobConfig:
 
 
 @dataclass
-class Trained:
-    """Models and tables of a training run."""
+class Models:
+    """Site models by site type and backend, and a ranker per backend."""
 
     site_models: dict[tuple[str, str], M.Classifier]
     rankers: dict[str, M.Classifier]
+
+
+@dataclass
+class Trained(Models):
+    """Models and tables of a training run."""
+
     site_metrics: DataFrame
     transcript_metrics: DataFrame
     scored: DataFrame
@@ -102,7 +108,54 @@ def train(
     )
 
 
-def predict(transcripts: DataFrame, cov: DataFrame, reads: DataFrame, trained: Trained, cfg: JobConfig) -> tuple[DataFrame, DataFrame]:
+# Between assembly and transcript in the ids of pooled training; no id holds it.
+BETWEEN = "\x1f"
+
+
+def _pooled(df: DataFrame) -> DataFrame:
+    return df.withColumn("transcript_id", F.concat_ws(BETWEEN, "assembly_id", "transcript_id")).drop("assembly_id")
+
+
+def _parted(df: DataFrame) -> DataFrame:
+    parts = F.split("transcript_id", BETWEEN, 2)
+    rest = [c for c in df.columns if c != "transcript_id"]
+    return df.select(parts[0].alias("assembly_id"), parts[1].alias("transcript_id"), *rest)
+
+
+def train_pooled(
+    transcripts: DataFrame, cov: DataFrame, reads: DataFrame, reference_sites: DataFrame, labels: DataFrame, cfg: JobConfig
+) -> Trained:
+    """One training run over the transcripts of several assemblies of one sample.
+
+    As ``train``, with ``assembly_id`` in ``transcripts``, ``cov`` and ``labels``: a transcript meets
+    coverage and label of its own assembly only, also where assemblies use the same ids.  Site features are computed once per
+    coordinate whatever the number of assemblies that propose it.  ``scored`` and ``ranked`` carry ``assembly_id``.
+    """
+    named = [df.where("assembly_id is not null") for df in (transcripts, cov, labels)]
+    trained = train(_pooled(named[0]), _pooled(named[1]), reads, reference_sites, _pooled(named[2]), cfg)
+    trained.scored, trained.ranked = _parted(trained.scored), _parted(trained.ranked)
+    return trained
+
+
+def _places(path: str) -> dict[tuple[str, ...], str]:
+    sites = {(t, b): f"{path}/site-{t.lower()}-{b}" for t in S.SITE_TYPES for b in BACKENDS}
+    return sites | {(b,): f"{path}/ranker-{b}" for b in BACKENDS}
+
+
+def save_models(models: Models, path: str, spark: SparkSession) -> None:
+    """Write all models under ``path``, each with the list of its features."""
+    for key, place in _places(path).items():
+        model = models.site_models[key] if len(key) == 2 else models.rankers[key[0]]
+        model.save(place, spark)
+
+
+def load_models(path: str, spark: SparkSession) -> Models:
+    """Models written by ``save_models``; a model that is not there raises."""
+    loaded = {key: M.Classifier.load(place, spark) for key, place in _places(path).items()}
+    return Models({k: m for k, m in loaded.items() if len(k) == 2}, {k[0]: m for k, m in loaded.items() if len(k) == 1})
+
+
+def predict(transcripts: DataFrame, cov: DataFrame, reads: DataFrame, trained: Models, cfg: JobConfig) -> tuple[DataFrame, DataFrame]:
     """Scored sites and ranked transcripts of another sample."""
     sites = S.candidate_sites(transcripts)
     features = cut_lineage(site_features(sites, reads, cfg.features))
