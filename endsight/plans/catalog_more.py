@@ -223,6 +223,101 @@ def src_06(spark, sf_dir):
     return items.withColumns({c: r6(c) for c in ("fpkm", "tpm", "cov")})
 
 
+def written(spark) -> str:
+    """A new folder for files that a query writes and reads again."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(
+    "src_09_cov_scan",
+    with_views(f"with {COV_SQL} select * exclude (mean_exon_length, coverage), {rnd('mean_exon_length')} as mean_exon_length, {rnd('coverage')} as coverage from cov", "v_tx", "v_exon"),
+)
+def src_09(spark, sf_dir):
+    folder = written(spark)
+    TB.write_tsv(coverage(spark, sf_dir), folder)
+    return TB.read_cov(spark, folder).withColumns({c: r6(c) for c in ("mean_exon_length", "coverage")})
+
+
+@query(
+    "src_11_scored_ranked_scan",
+    with_views(
+        """select 'sites' as source, 'TSS' as site_type, chrom, count(*) as n, round(sum(p_site_rf), 6) + 0.0 as rf, round(sum(p_site_xgb), 6) + 0.0 as xgb, null::bigint as ones from v_score join v_tx using (transcript_id) group by chrom
+        union all select 'ranked', null, null, count(*), round(sum(pred_prob), 6) + 0.0, null, sum((pred_prob >= 0.5)::int)::bigint from v_score""",
+        "v_tx", "v_score",
+    ),
+)
+def src_11(spark, sf_dir):
+    score = view(spark, sf_dir, "v_score")
+    sites, ranked = written(spark), written(spark)
+    rows = score.join(view(spark, sf_dir, "v_tx"), "transcript_id").selectExpr(
+        "transcript_id as site_id", "transcript_id", "'TSS' as site_type", "chrom", "tx_start as position", "strand", "p_site_rf", "p_site_xgb", "'x' as further"
+    )
+    TB.write_tsv(rows, sites)
+    TB.write_tsv(score.selectExpr("pred_prob", "transcript_id", "int(pred_prob >= 0.5) as pred_label"), ranked)
+    first = TB.read_scored(spark, sites).groupBy("site_type", "chrom").agg(
+        F.expr("count(*) as n"), r6(F.sum("p_site_rf")).alias("rf"), r6(F.sum("p_site_xgb")).alias("xgb")
+    )
+    second = TB.read_ranked(spark, ranked).agg(
+        F.expr("count(*) as n"), r6(F.sum("pred_prob")).alias("rf"), F.expr("sum(bigint(pred_label)) as ones")
+    )
+    return first.withColumns({"source": F.lit("sites"), "ones": F.expr("bigint(null)")}).unionByName(
+        second.withColumns({"source": F.lit("ranked"), "site_type": F.expr("string(null)"), "chrom": F.expr("string(null)"), "xgb": F.expr("double(null)")})
+    )
+
+
+@query(
+    "src_13_manifest_scan",
+    f"""with {MAN_SQL} select test_id, ref_id, modality, sample_id, assembler_id, bam, gtf, ref_gtf, tmap, assembler_order, null::varchar as problem
+      from tests where (select k from man where man.sample_id = tests.sample_id) % 7 not in (1, 2, 3)
+    union all select null, ref_id, modality, sample_id, null, null, null, null, null, null,
+      case k % 7 when 1 then 'not an object' when 2 then 'alignments.sorted_bam' else 'ref_annotation_gtf' end from man where k % 7 in (1, 2, 3)""",
+)
+def src_13(spark, sf_dir):
+    """Tests of all whole manifests, and what the others lack."""
+    shaped = manifests(spark, sf_dir).selectExpr(
+        "concat('/bundles/', ref_id, '/', modality, '/', sample_id, '/manifest.json') as path",
+        """case k % 7 when 1 then 'sample: no json' when 2 then to_json(struct(ref_gtf as ref_annotation_gtf)) when 3 then to_json(struct(struct(bam as sorted_bam) as alignments))
+          else to_json(struct(sample_id, ref_gtf as ref_annotation_gtf, struct(bam as sorted_bam) as alignments,
+            transform(assemblies, a -> named_struct('assembler_id', a.assembler_id, 'gtf', a.gtf, 'gffcompare', named_struct('tmap', a.tmap))) as assemblies)) end as value""",
+    )
+    rows = TB.manifest_rows(shaped)
+    tests = U.expand_tests(rows.where("problem is null"), "S3").withColumn("problem", F.expr("string(null)"))
+    lacking = rows.where("problem is not null").select("ref_id", "modality", "sample_id", "problem")
+    return tests.unionByName(lacking, allowMissingColumns=True)
+
+
+@query(
+    "src_14_summaries_glob_scan",
+    with_views(
+        """select data_type || '__train_' || train_annotation || '__test_' || test_annotation || '__v' || test_id as run_id, data_type, train_annotation, test_annotation, 'v' || test_id as run_variant,
+          test_id, case when length(test_id) % 2 = 0 then assembler_id || ', "x"' end as assembler, stage1_test_aupr_tss_rf::varchar as rf, case when length(test_id) % 2 = 1 then stage1_test_aupr_tss_xgb::varchar end as xgb from v_run""",
+        "v_run",
+    ),
+)
+def src_14(spark, sf_dir):
+    """Summaries with two kinds of headers, in different orders of columns."""
+    rows = view(spark, sf_dir, "v_run").selectExpr(
+        "concat('/runs/', data_type, '__train_', train_annotation, '__test_', test_annotation, '__v', test_id, '/reports/benchmark_summary.csv') as file",
+        '''if(length(test_id) % 2 = 0,
+          array('test_id,assembler,rf', concat(test_id, ',"', assembler_id, ', ""x""",', coalesce(string(stage1_test_aupr_tss_rf), ''))),
+          array('xgb,test_id,rf', concat(stage1_test_aupr_tss_xgb, ',', test_id, ',', coalesce(string(stage1_test_aupr_tss_rf), '')))) as lines''',
+    )
+    return TB.summary_rows(rows.selectExpr("file", "posexplode(lines) as (number, value)"))
+
+
+@query(
+    "src_17_fastq_scan",
+    with_views("select 'r' || read_id as read_id, chrom || left_seq || 'ACGT' as seq from v_aln", "v_aln"),
+)
+def src_17(spark, sf_dir):
+    """Reads written as FASTQ text and read again."""
+    folder = written(spark)
+    view(spark, sf_dir, "v_aln").selectExpr(
+        "concat('@r', read_id, ' x\n', chrom, left_seq, 'ACGT\n+\n@', repeat('I', 3)) as value"
+    ).write.text(folder)
+    return RD.read_fastq(spark, folder).select("read_id", "seq")
+
+
 @query(
     "src_10_predictions_scan",
     """select 'T' || (o_custkey % 500) as transcript_id, max_by(o_totalprice, o_orderkey) as score from orders where o_orderkey % 7 <> 0 group by 1""",

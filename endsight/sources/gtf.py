@@ -9,14 +9,32 @@ from endsight.functions.attributes import coverage_value, quoted_attribute
 
 
 def line_order() -> Column:
-    """An ordinal that follows file order.
+    """An ordinal that follows the order of the lines of one file.
 
-    Text splits are numbered in file order and rows within a split in line order, so
-    the value grows along a file; it has gaps.
+    Rows within a split come in line order and splits of a file are numbered by their place, so the value grows along a
+    file; it has gaps, and values of several files may interleave (see ``numbered_lines``).
     """
     return F.monotonically_increasing_id()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files as ``file, number, value``, numbered from 0 within each file.
+
+    Lines are counted per split of a file (the block a task reads), the counts are summed along the splits, and each line adds
+    its place in its split.  The text is neither sorted, shuffled for its order nor written; what travels is one row per split.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        "value",
+    )
+    splits = lines.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = "coalesce(sum(_n) over (partition by file order by _block rows between unbounded preceding and 1 preceding), 0)"
+    offsets = splits.selectExpr("file", "_block", f"_first - {before} as _from")
+    return lines.join(offsets, ["file", "_block"]).selectExpr("file", "_at - _from as number", "value")
+
+
 def parse_gtf(lines: DataFrame) -> DataFrame:
     """Split annotation lines (``line_no, value``) into columns.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from endsight.functions.reads import parse_cigar, reference_span
-from endsight.operators.ranking import rank_index
+from endsight.sources.gtf import numbered_lines
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:
@@ -29,26 +29,30 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """FASTQ records (plain or compressed) as ``file, record, read_id, seq, mate``.
+def fastq_records(lines: DataFrame) -> DataFrame:
+    """FASTQ records of numbered lines (``file, number, value``) as ``file, record, read_id, seq, mate``.
 
-    Every read starts at a line with ``@`` that is three lines before a quality line;
-    lines are numbered per file by their order, so records never mix across splits.
+    Lines before the first that starts with ``@`` are skipped; from there every four lines are a record.
+    Head and sequence of a record meet in the task that read them; only records cut by a split travel as two rows.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value"
+    starts = lines.where("value like '@%'").groupBy("file").agg(F.min("number").alias("_start"))
+    placed = lines.join(starts, "file").where("number >= _start").selectExpr(
+        "file", "(number - _start) div 4 as record", "(number - _start) % 4 as part", "value"
     )
-    numbered = rank_index(lines, by=["file"], order=[F.col("at")])
-    records = numbered.selectExpr("file", "rank_idx div 4 as record", "rank_idx % 4 as part", "value")
-    gathered = records.where("part < 2").groupBy("file", "record").agg(
+    gathered = placed.where("part < 2").groupBy("file", "record").agg(
         F.expr("max(if(part = 0, value, null)) as head"), F.expr("max(if(part = 1, trim(value), null)) as seq")
     )
     mate = F.regexp_extract("file", r"[_.]R?([12])(?:_[0-9]+)?[.](?:fastq|fq)", 1)
-    return gathered.select(
-        "file", "record", F.regexp_extract("head", r"^@(\S+)", 1).alias("read_id"), "seq", F.nullif(mate, F.lit("")).alias("mate")
+    return gathered.where("seq is not null").select(
+        "file", "record", F.regexp_extract("head", r"^@\s*(\S+)", 1).alias("read_id"), "seq", F.nullif(mate, F.lit("")).alias("mate")
     )
 
 
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """FASTQ records (plain or compressed) of files of any number of splits."""
+    return fastq_records(numbered_lines(spark, path))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """FASTA records as ``file, read_id, seq``."""
     raw = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from endsight.operators.compare import RUN_PATTERN, auc_table, parse_run_id
-from endsight.sources.gtf import line_order
+from endsight.sources.gtf import line_order, numbered_lines
 
 # Schemas of the exchanged tables.
 COV_SCHEMA = (
@@ -127,43 +127,63 @@ def read_chroms(spark: SparkSession, path: str) -> DataFrame:
     return chrom_list(spark.read.text(path))
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """JSON manifests under ``<ref>/<modality>/<sample>/``; the keys come from the file path."""
-    place = F.regexp_extract("_metadata.file_path", r"([^/]+)/([^/]+)/([^/]+)/[^/]+$", 1)
-    raw = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True, recursiveFileLookup=True)
-    keyed = raw.withColumns(
-        {
-            "_ref": place,
-            "modality": F.regexp_extract("_metadata.file_path", r"([^/]+)/([^/]+)/([^/]+)/[^/]+$", 2),
-            "_sample": F.regexp_extract("_metadata.file_path", r"([^/]+)/([^/]+)/([^/]+)/[^/]+$", 3),
-        }
-    )
-    return keyed.selectExpr(
-        "_ref as ref_id", "modality", "_sample as sample_id", "alignments.sorted_bam as bam", "ref_annotation_gtf as ref_gtf",
-        "transform(assemblies, a -> named_struct('assembler_id', a.assembler_id, 'gtf', a.gtf, 'tmap', a.gffcompare.tmap)) as assemblies",
+def manifest_rows(texts: DataFrame) -> DataFrame:
+    """JSON manifests (``path, value``) as ``ref_id, modality, sample_id, bam, ref_gtf, assemblies, problem``.
+
+    The first three come from the path ``<ref>/<modality>/<sample>/<file>``.  A manifest that is no JSON object, or lacks
+    ``alignments.sorted_bam`` or ``ref_annotation_gtf``, has its ``problem`` named; one without assemblies has an empty list.
+    """
+    parsed = texts.withColumn("m", F.from_json("value", MANIFEST_SCHEMA + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}))
+    key = "regexp_extract(path, '([^/]+)/([^/]+)/([^/]+)/[^/]+$', {})"
+    return parsed.selectExpr(
+        f"{key.format(1)} as ref_id", f"{key.format(2)} as modality", f"{key.format(3)} as sample_id",
+        "m.alignments.sorted_bam as bam", "m.ref_annotation_gtf as ref_gtf",
+        """coalesce(transform(m.assemblies, a -> named_struct('assembler_id', a.assembler_id, 'gtf', a.gtf, 'tmap', a.gffcompare.tmap)),
+          cast(array() as array<struct<assembler_id:string,gtf:string,tmap:string>>)) as assemblies""",
+        """case when m is null or m._broken is not null then 'not an object' when m.alignments.sorted_bam is null then 'alignments.sorted_bam'
+          when m.ref_annotation_gtf is null then 'ref_annotation_gtf' end as problem""",
     )
 
 
-def read_summaries(spark: SparkSession, pattern: str) -> DataFrame:
-    """Run summaries ``<run_id>/reports/*.csv`` of possibly different columns, one frame.
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """JSON manifests under ``<ref>/<modality>/<sample>/``, one file each."""
+    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return manifest_rows(texts.select(F.col("_metadata.file_path").alias("path"), "value"))
+
 
-    Files are grouped by header on the driver (one path per run); each group is read
-    with its own columns and the groups are combined by name.
+def _fields(column: str) -> str:
+    """Comma-separated fields of a line; quoted ones may hold commas and doubled quotes."""
+    parts = f"split({column}, ',(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)', -1)"
+    plain = "regexp_replace(trim(f), '^\"(.*)\"$', '$1')"
+    return f"transform({parts}, f -> replace({plain}, '\"\"', '\"'))"
+
+
+def summary_rows(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Run summaries of possibly different columns, from numbered lines (``file, number, value``), by column name.
+
+    Line 0 of a file is its header; it is joined to the file's rows, which become maps from name to value.  ``columns``
+    are those of the result; by default all names of all headers, in order (reading the distinct names runs a job whose result
+    is as large as one header).  Absent and empty values are NULL; the run comes from ``<run>/reports/<file>``, and
+    files of other runs are left out.  Fields do not span lines.
     """
-    heads = (
-        spark.read.text(pattern, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("f"), F.substring_index("value", "\n", 1).alias("h"))
-        .groupBy("h")
-        .agg(F.collect_list("f").alias("files"))
+    run = F.regexp_extract("file", r"([^/]+)/reports/[^/]+$", 1)
+    named = lines.where("trim(value) <> ''").withColumn("run_id", run).where(F.col("run_id").rlike(RUN_PATTERN))
+    heads = named.where("number = 0").selectExpr("file", f"{_fields('value')} as _head")
+    if columns is None:
+        columns = [r[0] for r in heads.selectExpr("explode(_head) as name").where("name <> ''").distinct().orderBy("name").collect()]
+    rows = named.where("number > 0").selectExpr("file", "run_id", f"{_fields('value')} as _values").join(heads, "file")
+    # of equal names the first counts
+    mapped = rows.selectExpr(
+        "run_id",
+        "map_from_arrays(array_distinct(_head), transform(array_distinct(_head), h -> nullif(get(_values, int(array_position(_head, h)) - 1), ''))) as _map",
     )
-    out = None
-    for row in heads.toLocalIterator():
-        run = F.regexp_extract("_metadata.file_path", r"([^/]+)/reports/[^/]+$", 1)
-        part = spark.read.csv(row["files"], header=True).withColumn("run_id", run)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise FileNotFoundError(pattern)
-    return out.where(F.col("run_id").rlike(RUN_PATTERN)).withColumns(parse_run_id(F.col("run_id")))
+    picked = mapped.select("run_id", *[F.col("_map")[c].alias(c) for c in columns])
+    return picked.withColumns(parse_run_id(F.col("run_id")))
+
+
+def read_summaries(spark: SparkSession, pattern: str, columns: list[str] | None = None) -> DataFrame:
+    """Run summaries ``<run_id>/reports/*.csv`` as one frame (see ``summary_rows``)."""
+    return summary_rows(numbered_lines(spark, pattern), columns)
 
 
 def read_auc_files(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from endsight.operators import annotation as N
+from endsight.operators import models as M
 from endsight.sources import gtf as G
 from endsight.sources import reads as R
 from endsight.sources import tables as TB
@@ -42,6 +43,45 @@ def test_fastq_and_fasta(spark, tmp_path):
     assert sorted((r.read_id, r.seq) for r in R.read_fasta(spark, str(tmp_path / "x.fa")).collect()) == [("a", "ACGT"), ("b", "TT")]
 
 
+def test_fastq_of_many_splits(spark, tmp_path):
+    seqs = {f"r{i}": "ACGT" * (1 + i % 7) for i in range(3000)}
+    for part in range(2):
+        names = list(seqs)[part::2]
+        (tmp_path / f"s_R{part + 1}.fastq").write_text("odd line\n" * part + "".join(f"@{n} x\n{seqs[n]}\n+\n@{'I' * 9}\n" for n in names))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        lines = G.numbered_lines(spark, str(tmp_path / "*.fastq"))
+        assert lines.rdd.getNumPartitions() > 4
+        numbers = lines.groupBy("file").agg(F.min("number"), F.max("number"), F.count_distinct("number")).collect()
+        assert sorted(tuple(r)[1:] for r in numbers) == [(0, 5999, 6000), (0, 6000, 6001)]
+        got = R.read_fastq(spark, str(tmp_path / "*.fastq")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.read_id: r.seq for r in got} == seqs and len(got) == 3000
+    assert {r.mate for r in got} == {"1", "2"}
+
+
+def test_broken_manifests_are_named(spark):
+    texts = [("/b/g/sr/S1/m", "[1]"), ("/b/g/sr/S2/m", "{"), ("/b/g/sr/S3/m", "{}"), ("/b/g/sr/S4/m", '{"alignments": {"sorted_bam": "b"}, "ref_annotation_gtf": "r"}')]
+    rows = {r.sample_id: r for r in TB.manifest_rows(spark.createDataFrame(texts, "path string, value string")).collect()}
+    assert [rows[k].problem for k in ("S1", "S2", "S3", "S4")] == ["not an object", "not an object", "alignments.sorted_bam", None]
+    assert rows["S4"].assemblies == [] and rows["S4"].bam == "b"
+
+
+def test_saved_model_knows_its_features(spark, tmp_path):
+    rows = spark.range(60).selectExpr("double(id) as a", "double(id % 7) as b", "int(id > 30) as label", "id as position")
+    model = M.fit(rows, M.feature_names(rows), kind="rf", params={"numTrees": 3, "maxDepth": 3})
+    assert model.features == ["a", "b"]
+    model.save(str(tmp_path / "m"), spark)
+    again = M.Classifier.load(str(tmp_path / "m"), spark)
+    other = rows.selectExpr("label", "b", "a", "a * 2 as c")
+    assert again.contract(other) == ([], ["c"]) and again.contract(other.drop("a")) == (["a"], ["c"])
+    scores = lambda m, df: [r.p for r in m.score(df, "p", keep=["b"]).collect()]
+    assert scores(model, rows) == scores(again, other)
+    assert scores(again, other.drop("a")) == scores(again, other.withColumn("a", F.lit(0.0)))
+
+
 def test_read_length_order(spark):
     df = spark.createDataFrame([(5,), (5,), (7,), (9,)], "length int")
     row = R.read_length_stats(df).first()
