@@ -15,6 +15,8 @@ LABEL_TOLERANCE = 50
 NOVEL_PREFIX = "NOVEL_TX_"
 SITE_TYPES = ("TSS", "TES")
 BIN = 1_024
+# Bins that one task scans for the nearest position outside a bin.
+BLOCK = 1_024
 
 
 def oriented_strands(strand: Column) -> Column:
@@ -156,6 +158,31 @@ def novel_label(sites: DataFrame, reference: DataFrame, *, tolerance: int = LABE
     )
 
 
+def _bin_edges(bins: DataFrame, filled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For every row of ``bins`` (keys, _bin) the last position of the filled bins before it and the first of those after it.
+
+    Blocks of ``BLOCK`` bins are scanned each by itself; what a block hands to the others is one row with its first
+    and last position, so the scan along a contig has one row per block (a million positions), not per bin.
+    """
+    block = F.floor(F.col("_bin") / BLOCK).alias("_block")
+    rows = bins.join(filled, [*keys, "_bin"], "full").select(*keys, "_bin", block, "_first", "_last")
+    totals = rows.groupBy(*keys, "_block").agg(F.min("_first").alias("_low"), F.max("_last").alias("_high"))
+    along = Window.partitionBy(*keys).orderBy("_block")
+    carried = totals.select(
+        *keys,
+        "_block",
+        F.max("_high").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("_low").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    inside = Window.partitionBy(*keys, "_block").orderBy("_bin")
+    return skew_join(rows, carried, [*keys, "_block"]).select(
+        *keys,
+        "_bin",
+        F.coalesce(F.max("_last").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "_before").alias("_below"),
+        F.coalesce(F.min("_first").over(inside.rowsBetween(1, Window.unboundedFollowing)), "_after").alias("_above"),
+    )
+
+
 def nearest_reference(
     sites: DataFrame,
     reference: DataFrame,
@@ -170,8 +197,7 @@ def nearest_reference(
     position and the label are 0.
 
     Positions are grouped per bin (at most ``BIN`` distinct values each); the nearest
-    position outside the bin comes from a scan over bins, of which a contig has at
-    most its length divided by ``BIN``.
+    position outside the bin comes from the first and last position of each bin (see ``_bin_edges``).
     """
     keys = ["_type", "_chrom", "_strand"]
     rank = F.col(order) if order else F.col("position")
@@ -193,20 +219,9 @@ def nearest_reference(
         )
     )
     keyed = _with_label_keys(sites)
-    bins = keyed.select(*keys, "_bin").distinct().join(per_bin, [*keys, "_bin"], "full")
-    along = Window.partitionBy(*keys).orderBy("_bin")
-    frame = bins.select(
-        *keys,
-        "_bin",
-        "_refs",
-        F.last("_last", ignorenulls=True)
-        .over(along.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_below"),
-        F.first("_first", ignorenulls=True)
-        .over(along.rowsBetween(1, Window.unboundedFollowing))
-        .alias("_above"),
-    )
-    joined = skew_join(keyed, frame, [*keys, "_bin"])
+    edges = _bin_edges(keyed.select(*keys, "_bin").distinct(), per_bin.select(*keys, "_bin", "_first", "_last"), keys)
+    near = skew_join(keyed, edges, [*keys, "_bin"])
+    joined = skew_join(near, per_bin.select(*keys, "_bin", "_refs"), [*keys, "_bin"])
     choices = F.concat(
         F.coalesce("_refs", F.array().cast("array<struct<pos:bigint,ord:bigint>>")),
         F.array("_below", "_above"),

@@ -109,3 +109,18 @@ def test_consensus_follows_the_cell_rule(spark):
         F.sort_array(F.collect_list("transcript_id")).alias("ids")
     )
     assert sorted(list(r.ids) for r in grouped.collect()) == cell_groups(rows, 50)
+
+
+def test_nearest_reference_over_blocks(spark, monkeypatch):
+    from endsight.operators import sites
+
+    monkeypatch.setattr(sites, "BLOCK", 3)
+    reference = [("TSS", "chr1", "+", p) for p in (5, 1_000, 40_000, 41_000, 90_000_000)] + [("TES", "chr1", "+", 7)]
+    places = [0, 500, 600, 20_000, 20_501, 40_500, 3_000_000, 60_000_000, 99_000_000]
+    rows = [(f"t{p}", "TSS", "chr1", p, "+") for p in places] + [("u", "TSS", "chr2", 5, "+")]
+    ref = spark.createDataFrame(reference, "site_type string, chrom string, strand string, position long")
+    found = sites.nearest_reference(spark.createDataFrame(rows, "transcript_id string, site_type string, chrom string, position long, strand string"), ref)
+    tss = [r[3] for r in reference if r[0] == "TSS"]
+    for r in found.collect():
+        want = min(tss, key=lambda p: (abs(p - r.position), p)) if r.chrom == "chr1" else 0
+        assert r.closest_ref_position == want and r.label == int(r.chrom == "chr1" and abs(want - r.position) <= 50)
