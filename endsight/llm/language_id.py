@@ -23,10 +23,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from endsight.llm.common import small_batches
+from endsight.llm.common import settled, small_batches
 
 #: Words and n-grams that are broadcast, longest n-gram, and the count added to each frequency.
 WORDS, GRAMS, LONGEST, ADDED = 50_000, 100_000, 4, 0.5
@@ -125,50 +126,58 @@ def _vectors(counts: DataFrame, key: str, totals: dict, languages: list[str]) ->
     """``key, _v``: log frequencies of every counted key, in the order of ``languages``; n-grams by their length."""
     spark = counts.sparkSession
     scales = [(n, [float(np.log(totals.get((x, n), 0.0) + ADDED)) for x in languages]) for n in sorted({k[1] for k in totals})]
-    listed = spark.createDataFrame([(languages,)], "_languages array<string>")
+    listed = F.array(*[F.lit(x) for x in languages])
     size = "length(_gram)" if key == "_gram" else "0"
     return (
         counts.groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct("_lang", "_count"))).alias("_of"))
         .withColumn("_size", F.expr(size))
         .join(F.broadcast(spark.createDataFrame(scales, "_size int, _scale array<double>")), "_size")
-        .crossJoin(F.broadcast(listed))
+        .withColumn("_languages", listed)
         .select(key, F.expr(f"zip_with(_languages, _scale, (x, s) -> ln(coalesce(_of[x], 0) + {ADDED}D) - s) as _v"))
     )
 
 
-def _word_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 4096):
-            words = whole.column(0).slice(start, 4096).to_pylist()
-            pairs = [(w, g) for w in words for n in range(1, LONGEST + 1) for g in grams(w, n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in pairs], pa.string()), pa.array([g for _, g in pairs], pa.string())],
-                names=["_word", "_gram"],
-            )
+def _word_grams(size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                words = whole.column(0).slice(start, 4096).to_pylist()
+                pairs = [(w, g) for w in words for g in grams(w, size)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([w for w, _ in pairs], pa.string()), pa.array([g for _, g in pairs], pa.string())],
+                    names=["_word", "_gram"],
+                )
+
+    return run
 
 
 def word_vectors(words: DataFrame, model: Model) -> DataFrame:
-    """``_word, _v`` of the distinct ``words`` that have a score, from the full tables."""
+    """``_word, _v`` of the distinct ``words`` that have a score, from the full tables.
+
+    Words that are not counted go through the lengths of n-grams from the longest; those that find a known one leave.
+    """
     counted, gram_counts, totals, sizes = model.tables
     width = len(model.languages)
-    own = words.join(_vectors(counted, "_word", totals, model.languages), "_word", "left")
-    unknown = own.where("_v is null").select("_word").mapInArrow(_word_grams, "_word string, _gram string")
-    by_length = (
-        unknown.join(_vectors(gram_counts, "_gram", sizes, model.languages), "_gram")
-        .groupBy("_word", F.length("_gram").alias("_size"))
-        .agg(F.array(*[F.avg(F.col("_v")[i]) for i in range(width)]).alias("_v"))
-    )
-    backed = by_length.groupBy("_word").agg(F.max_by("_v", "_size").alias("_v"))
-    return own.where("_v is not null").unionByName(backed)
+    found = settled(words.join(_vectors(counted, "_word", totals, model.languages), "_word", "left"))
+    vectors, unknown = found.where("_v is not null"), found.where("_v is null").select("_word")
+    known = _vectors(gram_counts, "_gram", sizes, model.languages)
+    for size in range(LONGEST, 0, -1):
+        backed = settled(
+            unknown.mapInArrow(_word_grams(size), "_word string, _gram string")
+            .join(known.where(F.length("_gram") == size), "_gram")
+            .groupBy("_word")
+            .agg(F.array(*[F.avg(F.col("_v")[i]) for i in range(width)]).alias("_v"))
+        )
+        vectors = vectors.unionByName(backed)
+        unknown = settled(unknown.join(backed, "_word", "left_anti"))
+    return vectors
 
 
 def fit(training: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Count words and n-grams of the rows of ``training`` that have a language."""
-    from endsight.operators.scale import cut_lineage
-
     rows = training.select(F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text"))
-    words = cut_lineage(
+    words = settled(
         rows.where("_lang is not null and _text is not null")
         .selectExpr("_lang", f"explode({_WORDS}) as _word")
         .groupBy("_lang", "_word")
@@ -181,7 +190,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     )
     totals = {r[0]: float(r[1]) for r in words.groupBy("_lang").agg(F.sum("_count")).collect()}
     languages = sorted(totals)
-    gram_counts = cut_lineage(parts)
+    gram_counts = settled(parts)
     sizes = {
         (r[0], r[1]): float(r[2])
         for r in gram_counts.groupBy("_lang", F.length("_gram")).agg(F.sum("_count")).collect()
@@ -201,9 +210,9 @@ _OUT = pa.schema([("_id", pa.int64()), ("_lang_pred", pa.string()), ("_score", p
 _OUT_DDL = "_id bigint, _lang_pred string, _score double"
 _SUMS = pa.schema(
     [("_id", pa.int64()), ("_n", pa.int64()), ("_sums", pa.list_(pa.float64()))]
-    + [("_rest", pa.list_(pa.string())), ("_times", pa.list_(pa.int64()))]
+    + [("_rest", pa.string()), ("_times", pa.list_(pa.int32()))]
 )
-_SUMS_DDL = "_id bigint, _n bigint, _sums array<double>, _rest array<string>, _times array<bigint>"
+_SUMS_DDL = "_id bigint, _n bigint, _sums array<double>, _rest string, _times array<int>"
 
 
 def _add(broadcast, partial: bool):
@@ -242,13 +251,14 @@ def _summed(model: Model, batch: pa.RecordBatch, partial: bool) -> pa.RecordBatc
         pairs, times = np.unique(np.repeat(np.arange(rows), sizes)[away] * len(words) + codes[away], return_counts=True)
         of_row = np.bincount(pairs // len(words), minlength=rows)
         rest = coded.dictionary.take(pa.array(pairs % len(words)))
+    away_lists = _lists(rest, of_row)
     return pa.RecordBatch.from_arrays(
         [
             batch.column(0),
             pa.array(sizes),
             _lists(pa.array(sums.ravel()), np.full(rows, width)),
-            _lists(rest, of_row),
-            _lists(pa.array(times, pa.int64()), of_row),
+            pc.binary_join(away_lists, " "),  # words have no blanks
+            _lists(pa.array(times, pa.int32()), of_row),
         ],
         schema=_SUMS,
     )
@@ -280,16 +290,17 @@ def _chosen(languages: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id, _lang_pred, _score`` of every row; only the text is looked at."""
-    from endsight.operators.scale import cut_lineage
-
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(model.languages, model.words, model.grams))
+    # where words beyond the list go to the joins, tasks need no n-grams
+    here = model.grams if model.tables is None else {}
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model.languages, model.words, here))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).cast("string").alias("_text"))
     lists = rows.selectExpr("_id", f"{_WORDS} as _words")
     if model.tables is None:
         return lists.mapInArrow(_add(shared, False), _OUT_DDL)
-    summed = cut_lineage(lists.mapInArrow(_add(shared, True), _SUMS_DDL).withColumn("_row", F.monotonically_increasing_id()))
-    rest = summed.selectExpr("_row", "inline(arrays_zip(_rest, _times))").withColumnRenamed("_rest", "_word")
+    summed = settled(lists.mapInArrow(_add(shared, True), _SUMS_DDL).withColumn("_row", F.monotonically_increasing_id()))
+    away = summed.where("_rest <> ''").selectExpr("_row", "split(_rest, ' ') as _word", "_times")
+    rest = away.selectExpr("_row", "inline(arrays_zip(_word, _times))")
     vectors = word_vectors(rest.select("_word").distinct(), model)
     added = (
         rest.join(vectors, "_word")
