@@ -8,15 +8,19 @@ the risk of a classifier z under the logistic loss l is
 where the second term stands for the negatives that were never labelled; when its
 estimate falls below zero the step goes the other way, so that the classifier does
 not fit noise.  ``BAGS`` linear classifiers over word and word-part features are trained in numpy, each
-in a task of its own on the positives and another share of the unlabelled texts; the
+in a task of its own on another two thirds of the positives and another share of the unlabelled texts; the
 score of a text is the mean of their probabilities.
 
+Prior and scale come from texts that a classifier has not seen: the prior is the least ratio of unlabelled to positive texts
+above a cut (with a margin for small numbers), which needs no text labelled as clean.  Of all cuts the one with the best F1, as
+estimated from that prior, is moved to ``THRESHOLD``.
+
 Bounds, by parameter: about ``POSITIVES`` texts and ``UNLABELLED`` per classifier are drawn
 by hash for the fit (distinct texts, so a large group of copies counts once), and a
 classifier keeps at most ``FEATURES`` features.  Every text is scored whole.
 
 Defined cases: a null or empty text has no features and gets the score of the bias; without any
-positive the score of every text is 0; labels of documents that do not exist, and repeated
+positive the score of every text is 0; with too few to find a feature every text scores the prior; labels of documents that do not exist, and repeated
 labels, change nothing; null labels and null identifiers are not learned from;
 repeated rows score alike; other columns are carried, whatever their names; an empty
 table gives an empty result.
@@ -38,7 +42,7 @@ from endsight.llm.common import small_batches
 #: Texts per classifier (expected), classifiers, features kept and hash space.
 POSITIVES, UNLABELLED, BAGS, FEATURES, SPACE = 5_000, 10_000, 3, 4096, 1 << 20
 #: A kept feature is this many times as frequent among positives, in at least so many of them.
-LIFT, SUPPORT = 2.5, 5
+LIFT, SUPPORT = 2.5, 4
 #: Length of word parts; optimiser settings.
 PART, EPOCHS, RATE, BATCH, DECAY = 5, 100, 0.05, 1024, 1e-4
 THRESHOLD = 0.7
@@ -136,17 +140,79 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return chosen, theta[:-1], theta[-1]
 
 
-def _train_bag(prior: float):
+#: Share of F1 by which cuts count as equally good.
+SLACK = 0.01
+#: Prior before it is estimated, its least and greatest value, and the margin's confidence.
+PRIORS, CONFIDENCE = (0.1, 0.001, 0.5), 0.1
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from the scores of unseen texts of both kinds."""
+    first, least, most = PRIORS
+    if not len(positive) or not len(unlabelled):
+        return first
+    cuts = np.unique(positive)
+    above_p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    above_u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    margin = sum(np.sqrt(np.log(4 / CONFIDENCE) / (2 * n)) for n in (len(positive), len(unlabelled)))
+    at = np.argmin((above_u + margin) / above_p)
+    return float(np.clip(above_u[at] / above_p[at], least, most))
+
+
+def best_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bias: float) -> float | None:
+    """Cut with the best estimated F1 among those that a text without features (score ``bias``) does not reach."""
+    cuts = np.unique(np.concatenate([positive, unlabelled]))
+    cuts = cuts[cuts > bias + 1e-6]
+    if not len(cuts) or not len(positive):
+        return None
+    recall = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    taken = 1 - np.searchsorted(np.sort(unlabelled), cuts) / max(1, len(unlabelled))
+    # found / (taken + all): F1 with prior * recall as the share of true positives that are found
+    f1 = 2 * prior * recall / (np.maximum(taken, prior * recall) + prior)
+    if not f1.max() > 0:
+        return None
+    # the estimate is noisy: of cuts as good as the best, the one that finds most
+    at = int(np.argmax(f1 >= (1 - SLACK) * f1.max()))
+    # half way to the next lower cut, so that neither side lies on the edge
+    return float((cuts[at] + (cuts[at - 1] if at else bias)) / 2)
+
+
+def _scored(rows: list[np.ndarray], chosen: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    examples = Examples(rows, chosen)
+    owner = np.repeat(np.arange(len(rows)), examples.sizes)
+    return np.bincount(owner, weights[examples.places], minlength=len(rows)) + bias if len(rows) else np.zeros(0)
+
+
+def fitted(positive: list[np.ndarray], unlabelled: list[np.ndarray], unseen: tuple[list, list], seed: int = 0):
+    """(features, weights, bias) with the prior estimated on ``unseen`` texts and the best cut moved to ``THRESHOLD``."""
+    prior = PRIORS[0]
+    for _ in range(2):
+        chosen, weights, bias = train(positive, unlabelled, prior, seed)
+        held = [_scored(rows, chosen, weights, bias) for rows in unseen]
+        prior = class_prior(*held)
+    if not len(chosen):
+        return chosen, weights, float(np.log(prior / (1 - prior)))
+    cut = best_cut(*held, prior, bias)
+    shift = np.log(THRESHOLD / (1 - THRESHOLD)) - cut if cut is not None else 0.0
+    return chosen, weights, bias + shift
+
+
+def _train_bag(bags: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         # a fixed order makes the fit repeatable
         rows = rows.sort_values("_key", kind="stable")
         sets = [np.asarray(x, dtype=np.int32) for x in rows["_features"]]
-        is_positive = rows["_positive"].to_numpy()
-        positive = [s for s, p in zip(sets, is_positive, strict=True) if p]
-        unlabelled = [s for s, p in zip(sets, is_positive, strict=True) if not p]
-        if not positive:
+        is_positive, keys = rows["_positive"].to_numpy(), rows["_key"].to_numpy()
+        third = np.where(is_positive, (keys >> 7) % bags == int(key[0]), (keys >> 7) % 3 == 0)
+        seen, unseen = [], []
+        for part, wanted in ((seen, ~third), (unseen, third)):
+            for kind in (is_positive, ~is_positive):
+                part.append([sets[i] for i in np.flatnonzero(wanted & kind)])
+        if not unseen[0] or not seen[0]:  # too few to set some aside
+            seen[0] = unseen[0] = seen[0] + unseen[0]
+        if not seen[0]:
             return pd.DataFrame({"_bag": [], "_feature": [], "_weight": []})
-        chosen, weights, bias = train(positive, unlabelled, prior, int(key[0]))
+        chosen, weights, bias = fitted(*seen, tuple(unseen), int(key[0]))
         return pd.DataFrame(
             {
                 "_bag": int(key[0]),
@@ -216,15 +282,14 @@ def fit(
 ) -> Model:
     """Train on documents and labels that may be learned from; both are used as given.
 
-    The class prior is the share of toxic among the labelled rows.
+    Only labels of 1 are looked at; everything else counts as unlabelled.
     """
     small_batches(docs.sparkSession)
     marks = labels.select(F.col(doc_id).cast("bigint").alias("_label_id"), F.col(toxic).cast("int").alias("_toxic"))
     marks = marks.where("_label_id is not null and _toxic is not null").distinct()
-    toxic_rows, all_rows = marks.agg(F.expr("count_if(_toxic = 1)"), F.count(F.lit(1))).first()
+    toxic_rows = marks.where("_toxic = 1").count()
     if not toxic_rows:
         return Model([])
-    prior = min(max(toxic_rows / all_rows, 0.001), 0.999)
     grain = 1 << 30
     rate_p = int(grain * min(1.0, positives / toxic_rows))
     # expected to be at most ``positives`` rows whatever the size of the labels
@@ -246,7 +311,7 @@ def fit(
     trained = (
         sets.select("_positive", "_key", "_features", F.explode(F.expr(share)).alias("_bag"))
         .groupBy("_bag")
-        .applyInPandas(_train_bag(prior), "_bag int, _feature int, _weight double")
+        .applyInPandas(_train_bag(bags), "_bag int, _feature int, _weight double")
     )
     return Model([tuple(r) for r in trained.collect()])
 

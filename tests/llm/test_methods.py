@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from endsight.llm import bpe, exact_dedup, language_id, mixing, near_dedup, pii, quality, sharding, toxicity
-from endsight.llm.common import shared_folder, vocabulary
+from endsight.llm.common import remainder, shared_folder, vocabulary
 from endsight.llm.token_counts import TokenRollup, changes
 
 SF = "/root/testdata/sf0.01"
@@ -42,6 +42,36 @@ def test_toxicity_held_out(spark):
     assert scored.score.between(0, 1).all() and (scored.predicted == (scored.score >= 0.7)).all()
 
 
+def test_toxicity_threshold_and_prior(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    learn = remainder("doc_id", 3) != 1
+    kept = []
+    for known in (labels, labels.where("toxic = 1")):  # texts labelled as clean are not needed
+        model = toxicity.fit(docs.where(learn), known.where(learn))
+        scored = docs.where(~learn).select("doc_id", toxicity.scorer(docs, model).alias("score")).toPandas()
+        unseen = scored.merge(labels.toPandas(), on="doc_id")
+        taken = unseen[unseen.score >= toxicity.THRESHOLD]
+        assert taken.toxic.sum() >= 0.85 * unseen.toxic.sum() and taken.toxic.mean() >= 0.85
+        kept.append(int((scored.score < toxicity.THRESHOLD).sum()))
+    assert abs(kept[0] - kept[1]) <= 0.02 * len(scored)
+
+
+def test_toxicity_with_one_label_keeps_documents(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and some text") for i in range(50)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(3, 1)], "doc_id long, toxic int"))
+    assert toxicity.reject(docs, model).count() == 50
+
+
+def test_class_prior_from_scores():
+    random_ = np.random.default_rng(4)
+    positive = random_.normal(3, 1, 400)
+    unlabelled = np.concatenate([random_.normal(3, 1, 800), random_.normal(-3, 1, 9200)])
+    assert 0.05 < toxicity.class_prior(positive, unlabelled) < 0.11
+    cut = toxicity.best_cut(positive, unlabelled, 0.08, -10.0)
+    assert -1.5 < cut < 1.5 and toxicity.best_cut(positive, unlabelled, 0.08, 99.0) is None
+
+
 def test_risk_estimate_ignores_hidden_positives():
     random_ = np.random.default_rng(0)
     sign, noise = 11, list(range(100, 160))
