@@ -12,6 +12,10 @@ Plan
 4. Clip sequences are summed per clip position first (at most 4^k counts each) and
    then added up over the few positions near a site.
 
+The whole table (:func:`coordinate_features`) parses the reads once into a narrow written
+table and joins them with the sites once: every site keeps small histograms of starts,
+ends and clip lengths (:func:`site_histograms`), from which all its features follow.
+
 Expressions with many terms are written as SQL text; they plan faster than the same
 tree built column by column.
 """
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from endsight.functions import reads as R
 from endsight.functions import sequences as Q
-from endsight.operators.scale import overlap_join, skew_join
+from endsight.operators.scale import overlap_join, skew_join, written
 
 SITE = ("chrom", "position", "strand")
 SPAN = ("chrom", "ref_start", "ref_end", "read_strand")
@@ -333,10 +337,163 @@ def read_features(sums: DataFrame, cfg: FeatureConfig) -> DataFrame:
     if cfg.legacy_columns:
         columns["long_to_short_clip_ratio"] = "long_clips / double(greatest(short_clips, 1))"
         columns["normalized_read_density"] = columns["norm_read_density"]
+    columns |= {c: c for c in FROM_HISTOGRAMS if c in sums.columns}
     prepared = sums.selectExpr("*", *[f"{e} as {c}" for c, e in helpers.items()])
     return prepared.selectExpr(*SITE, *[f"{e} as {c}" for c, e in columns.items()])
 
 
+def read_shapes(parsed: DataFrame) -> DataFrame:
+    """One row per distinct read span, strand, pair of clip lengths and introns.
+
+    ``parsed`` is :func:`usable_reads`.  Reads of one shape are summed before the join
+    with the sites; only their numbers and qualities differ.
+    """
+    sums = {
+        "n": "count(1)",
+        "q1": "sum(mapq)",
+        "q2": "sum(double(mapq * mapq))",
+        "n_cigar": "count_if(has_cigar)",
+        "n_left": "count_if(left_op > 0)",
+        "n_right": "count_if(right_op > 0)",
+        "n_either": "count_if(left_op > 0 or right_op > 0)",
+    }
+    shaped = parsed.where("ref_end > 0").selectExpr(
+        *SPAN,
+        "introns",
+        "bigint(length(if(read_strand = '+', left_seq, right_seq))) as clip_s",
+        "bigint(length(if(read_strand = '+', right_seq, left_seq))) as clip_e",
+        "mapq", "has_cigar", "left_op", "right_op",
+    )
+    return shaped.groupBy(*SPAN, "clip_s", "clip_e", "introns").agg(
+        *[F.expr(f"{e} as {c}") for c, e in sums.items()]
+    )
+
+
+# Kinds of histogram: oriented read start and end relative to the site, clip lengths.
+STARTS, ENDS, START_CLIPS, END_CLIPS = range(4)
+
+
+def site_histograms(sites: DataFrame, shapes: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """Histograms per site: one row per (site, kind, value) with ``c`` reads.
+
+    ``span`` is signed so that the sum of ``span * max(x - value, 0)`` over starts and
+    ends is the number of bases that the reads of the site cover below ``x``.  What
+    depends on a read as a whole (quality, strand, flanks, introns) is summed on the
+    rows of its start.
+    """
+    cw = cfg.coverage_window
+    cap = cfg.splice_site_window
+
+    def flank(low: str, high: str) -> str:
+        return (
+            f"if((ref_start >= {low} and ref_start < {high}) or (ref_end > {low} and ref_end <= {high}),"
+            f" n * greatest(least(ref_end, {high}) - greatest(ref_start, {low}), 0), 0)"
+        )
+
+    near_left = f"abs(ref_start - position) <= {NEAR}"
+    near_right = f"abs(ref_end - position) <= {NEAR}"
+    clipped = (
+        f"case when {near_left} and {near_right} then n_either"
+        f" when {near_left} then n_left when {near_right} then n_right else 0 end"
+    )
+    same = "inside and read_strand = strand"
+    of_start = {
+        "q1": "if(inside, q1, 0)",
+        "q2": "if(inside, q2, 0)",
+        "same_strand": f"if({same}, n, 0)",
+        "bias_all": f"if({same}, n_cigar, 0)",
+        "bias_clipped": f"if({same}, {clipped}, 0)",
+        "cov_left": flank(f"(position - {cw})", "position"),
+        "cov_right": flank("position", f"(position + {cw})"),
+    }
+    forward = "if(inside and ref_end > ref_start, if(read_strand = '+', n, -n), 0)"
+    pairs = site_read_overlap(sites, shapes, cfg).selectExpr(
+        *SITE,
+        "if(inside, n, 0) as n",
+        f"{forward} as span",
+        "ds", "de", "clip_s", "clip_e",
+        *[f"{e} as {c}" for c, e in of_start.items()],
+        f"if(inside and size(introns) > 0,"
+        f" least(array_min(transform(introns, b -> abs(b - position))), {cap}), {cap}) as splice",
+    )
+    rows = pairs.selectExpr(
+        *SITE,
+        f"stack(4, {STARTS}, ds, span, {ENDS}, de, -span,"
+        f" {START_CLIPS}, clip_s, 0L, {END_CLIPS}, clip_e, 0L) as (kind, value, span)",
+        "n", "splice", *of_start,
+    )
+    return rows.groupBy(*SITE, "kind", "value").agg(
+        F.sum("n").alias("c"),
+        F.sum("span").alias("span"),
+        F.min("splice").alias("splice"),
+        *[F.expr(f"sum(if(kind = {STARTS}, {c}, 0)) as {c}") for c in of_start],
+    )
+
+
+def histogram_sums(histograms: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """The columns of :func:`read_sums`, entropies, medians and splice distance per site."""
+
+    def total(kind: int, expr: str = "c") -> str:
+        return f"coalesce(sum(if(kind = {kind}, {expr}, 0)), 0)"
+
+    def entropy(kind: int) -> str:
+        c = f"if(kind = {kind} and c > 0, c, null)"
+        return f"log2(sum({c})) - sum({c} * log2({c})) / sum({c})"
+
+    def clips(expr: str) -> str:
+        return f"coalesce(sum(if(kind in ({START_CLIPS}, {END_CLIPS}), {expr}, 0)), 0)"
+
+    def seen(kinds: str) -> str:
+        return f"if(kind in ({kinds}) and c > 0, value, null)"
+
+    def covered_below(offset: int) -> str:
+        return f"sum(if(kind in ({STARTS}, {ENDS}), span * greatest({offset} - value, 0), 0))"
+
+    both = f"{START_CLIPS}, {END_CLIPS}"
+    in_slope = f"value >= {-SLOPE_REACH} and value < {SLOPE_REACH + GRID_STEP}"
+    columns = {
+        "reads": total(STARTS),
+        "start_in_window": total(STARTS, f"if(abs(value) <= {cfg.density_window}, c, 0)"),
+        "end_in_window": total(ENDS, f"if(abs(value) <= {cfg.density_window}, c, 0)"),
+        "start_near": total(STARTS, f"if(abs(value) <= {NEAR}, c, 0)"),
+        "upstream": total(STARTS, "if(value < 0, c, 0)"),
+        "downstream": total(STARTS, "if(value > 0, c, 0)"),
+        "slope_c": total(STARTS, f"if({in_slope}, c, 0)"),
+        "slope_ic": total(STARTS, f"if({in_slope}, c * floor((value + {SLOPE_REACH}) / {GRID_STEP}), 0)"),
+        "ds1": total(STARTS, "c * value"),
+        "ds2": total(STARTS, "c * double(value * value)"),
+        "inverse_distance": total(STARTS, "c / double(greatest(abs(value), 1))"),
+        "cs1": total(START_CLIPS, "c * value"),
+        "ce1": total(END_CLIPS, "c * value"),
+        "clip2": clips("double(value * value) * c"),
+        "clip3": clips("double(value * value * value) * c"),
+        "long_clips": clips("if(value > 20, c, 0)"),
+        "short_clips": clips("if(value <= 10, c, 0)"),
+        "cs_max": f"max({seen(str(START_CLIPS))})",
+        "ce_max": f"max({seen(str(END_CLIPS))})",
+        "clip_min": f"min({seen(both)})",
+        "clip_max": f"max({seen(both)})",
+        **{c: f"sum({c})" for c in ("q1", "q2", "same_strand", "bias_all", "bias_clipped", "cov_left", "cov_right")},
+        "nearest_splice_dist": "min(splice)",
+        "start_entropy": entropy(STARTS),
+        "end_entropy": entropy(ENDS),
+        "start_soft_clip_median": f"percentile({seen(str(START_CLIPS))}, 0.5, c)",
+        "end_soft_clip_median": f"percentile({seen(str(END_CLIPS))}, 0.5, c)",
+    }
+    edges = [*_grid(cfg), _grid(cfg)[-1] + GRID_STEP]
+    below = {f"below_{i}": covered_below(offset) for i, offset in enumerate(edges)}
+    summed = histograms.groupBy(*SITE).agg(*[F.expr(e).alias(c) for c, e in (columns | below).items()])
+    return summed.selectExpr(
+        *SITE, *columns, *[f"below_{i + 1} - below_{i} as grid_{i}" for i in range(len(edges) - 1)]
+    )
+
+
+# Features that histogram_sums gives under their final names.
+FROM_HISTOGRAMS = (
+    "nearest_splice_dist", "start_entropy", "end_entropy", "start_soft_clip_median", "end_soft_clip_median",
+)
+
+
 def nearest_splice(sites: DataFrame, reads: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Distance to the closest intron boundary of the reads of a site, below the cap.
 
@@ -397,7 +554,11 @@ def clip_length_medians(sites: DataFrame, reads: DataFrame, cfg: FeatureConfig)
 
 def clip_sequences(reads: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Distinct clipped sequences per clip position with multiplicity ``n``."""
-    usable = usable_reads(reads, cfg)
+    return parsed_clips(usable_reads(reads, cfg))
+
+
+def parsed_clips(usable: DataFrame) -> DataFrame:
+    """As :func:`clip_sequences`, from parsed reads."""
     end = F.explode(
         F.array(
             F.struct(F.col("ref_start").alias("clip_pos"), F.col("left_seq").alias("seq")),
@@ -526,15 +687,17 @@ def feature_columns(columns: Sequence[str]) -> list[str]:
 
 
 def coordinate_features(sites: DataFrame, reads: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    """The whole feature table, one row per distinct site coordinate."""
+    """The whole feature table, one row per distinct site coordinate.
+
+    ``reads`` is scanned and parsed once, into a table in the shared folder without the
+    read sequences; one overlap join feeds all features but those of clip sequences.
+    """
     where = sites.select(*SITE).distinct()
-    pairs = site_read_overlap(where, read_spans(reads, cfg), cfg)
-    clips = clip_sequences(reads, cfg)
+    parsed = written(usable_reads(reads, cfg).drop("seq"))
+    histograms = site_histograms(where, read_shapes(parsed), cfg)
+    clips = parsed_clips(parsed)
     table = (
-        where.join(read_features(read_sums(pairs, cfg), cfg), list(SITE), "left")
-        .join(position_entropy(pairs), list(SITE), "left")
-        .join(clip_length_medians(where, reads, cfg), list(SITE), "left")
-        .join(nearest_splice(where, reads, cfg), ["chrom", "position"], "left")
+        where.join(read_features(histogram_sums(histograms, cfg), cfg), list(SITE), "left")
         .join(clip_composition(where, clips, cfg), ["chrom", "position"], "left")
         .join(kmer_statistics(where, clips, cfg), ["chrom", "position"], "left")
     )

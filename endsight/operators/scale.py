@@ -5,10 +5,12 @@
 ``overlap_join``    points against intervals, bounded replication on both sides
 ``ordered_scan``    running sums and neighbours over a global order, no single-task window
 ``cut_lineage``     reliable checkpoint in the cluster's shared folder
+``written``         Parquet in that folder, for tables that several readers prune
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,6 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, so that several readers prune columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _engine_splits_skew(df: DataFrame) -> bool:
     conf = df.sparkSession.conf
     return all(

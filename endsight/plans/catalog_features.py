@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from endsight.functions import reads as R
 from endsight.functions import sequences as Q
 from endsight.operators import features as X
-from endsight.plans.catalog import query, r6
+from endsight.plans.catalog import ORACLES, query, r6
 from endsight.plans.catalog_sites import SITES_SQL, tx_sites
 from endsight.plans.views import table, view, with_views
 
@@ -480,3 +480,32 @@ def prj_29(spark, sf_dir):
 def feature_table(spark, sf_dir):
     """The complete feature table of every candidate site."""
     return X.site_features(tx_sites(spark, sf_dir), alignments(spark, sf_dir), CFG)
+
+
+FEATURE_QUERIES = (
+    "agg_04_site_counts", "agg_05_clip_length_stats", "agg_06_mapq_stats", "agg_07_coverage_before_after",
+    "agg_08_nearest_splice", "agg_09_softclip_bias", "agg_10_position_entropy", "agg_11_coverage_gradient",
+    "agg_12_start_moments", "agg_13_degradation_slope", "agg_14_skewness", "agg_15_ratio_features",
+    "agg_16_clip_seq_summary", "agg_17_kmer_stats",
+)
+
+
+def feature_table_sql() -> str:
+    """Every site with the columns of all feature oracles."""
+    joins = " ".join(
+        f"join ({ORACLES[name]}) f{i} using (chrom, position, strand)" for i, name in enumerate(FEATURE_QUERIES)
+    )
+    sites = with_views(
+        f"with {SITES_SQL} select transcript_id, site_type, chrom, position, strand from site", "v_tx"
+    )
+    return f"select * from ({sites}) s {joins}"
+
+
+@query("snk_02_feature_table", feature_table_sql())
+def snk_02(spark, sf_dir):
+    """The feature table as it is written, doubles at six places."""
+    features = X.site_features(tx_sites(spark, sf_dir), alignments(spark, sf_dir), CFG)
+    keys = ["transcript_id", "site_type", *X.SITE]
+    doubles = {c for c, t in features.dtypes if t == "double"}
+    names = [c for c in features.columns if c not in keys]
+    return features.select(*keys, *[(r6(c) + 0.0).alias(c) if c in doubles else c for c in names])
