@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from endsight.llm.common import numbered, rows_out
+from endsight.operators.scale import cut_lineage
 
 #: Rows of a block, slots of a stretch, and the power of a source's size that is its default weight.
 BLOCK_ROWS, PERIOD, FLATTEN = 16, 4096, 0.7
@@ -182,18 +183,29 @@ def mix(
 ) -> DataFrame:
     """The rows of ``docs`` in the order of their slots: files and rows written from it follow it.
 
-    Rows equal in identifier and source share the earliest of their slots.
+    Rows without an identifier, and rows equal in identifier and source, are numbered and take one of their slots each.
     """
-    slots = (
-        schedule(docs, weights, doc_id, source, **options)
+    slots = cut_lineage(schedule(docs, weights, doc_id, source, **options).select("_id", "_source", "_slot"))
+    first = (
+        slots.where("_id is not null")
         .groupBy("_id", "_source")
-        .agg(F.min("_slot").alias("_slot"))
+        .agg(F.min("_slot").alias("_slot"), F.count(F.lit(1)).alias("_copies"))
     )
     rows = docs.alias("d").select(
-        F.struct("d.*").alias("_row"),
+        F.struct("d.*").alias("_doc"),
         F.col(f"d.{doc_id}").cast("bigint").alias("_own"),
         F.col(f"d.{source}").cast("string").alias("_own_source"),
     )
-    joined = rows.join(slots, F.expr("_own <=> _id and _own_source <=> _source"), "left")
-    ordered = joined.select("_row", "_slot", "_own").repartitionByRange("_slot", "_own")
-    return ordered.sortWithinPartitions("_slot", "_own").select("_row.*")
+    joined = rows.where("_own is not null").join(first, F.expr("_own = _id and _own_source <=> _source"))
+    several = joined.where("_copies > 1").select(*rows.columns).unionByName(rows.where("_own is null"))
+    repeated = first.where("_copies > 1").select(F.col("_id").alias("_own"), F.col("_source").alias("_own_source"))
+    theirs = (
+        slots.where("_id is not null")
+        .join(repeated, F.expr("_id = _own and _source <=> _own_source"), "left_semi")
+        .unionByName(slots.where("_id is null"))
+    )
+    left = numbered(several, [F.col("_own")], ["_own", "_own_source"]).withColumnRenamed("_row", "_at")
+    right = numbered(theirs, [F.col("_slot")], ["_id", "_source"]).drop("_rows")
+    paired = left.join(right, F.expr("_at = _row and _own <=> _id and _own_source <=> _source"))
+    placed = joined.where("_copies = 1").select("_doc", "_slot", "_own").unionByName(paired.select("_doc", "_slot", "_own"))
+    return placed.repartitionByRange("_slot", "_own").sortWithinPartitions("_slot", "_own").select("_doc.*")

@@ -3,9 +3,10 @@
 A change is an insert, a delete or a revision of one document's count.  It becomes signed
 rows: +1 document and +n tokens, -1 and -n, or both for a revision (which may also move a document to another key).  Signed rows
 are summed per key, first within each task and then across tasks, so a hot key
-travels as one row per task.  A batch's sums are written aside and renamed to
-the batch's own name in one step; a batch that is already there is left as it is, so a
-repeated or restarted commit changes nothing.  Totals are the sums over committed batches.
+travels as one row per task.  Every attempt to commit a batch
+writes its sums to a folder of its own; then a small file that names the attempt gets the batch's name in one step,
+which fails if another attempt has it.  Totals read only attempts that such a file names, so repeated, restarted and
+racing commits count once.
 
 Defined cases: a null text has no tokens; a null source, language or version is a key of its own; a
 null count is 0; repeated rows count as often as they occur; keys whose documents and
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,25 +81,45 @@ class TokenRollup:
         """
         if not batch or not all(c.isalnum() or c in "-_" for c in batch):
             raise ValueError(f"batch name {batch!r}: use letters, digits, - and _")
-        fs, final = self._fs(f"{self.folder}/committed/{batch}")
-        if fs.exists(final):
-            return False
-        aside = f"{self.folder}/writing/{batch}-{uuid.uuid4().hex}"
-        signed(change).write.parquet(aside)
-        fs.mkdirs(final.getParent())
-        _, source = self._fs(aside)
-        # another committer may have come first; its batch stays
-        if fs.exists(final) or not fs.rename(source, final):
-            fs.delete(source, True)
+        fs, marker = self._fs(f"{self.folder}/committed/{batch}")
+        if fs.exists(marker):
             return False
+        attempt = f"{batch}-{uuid.uuid4().hex}"
+        signed(change).write.parquet(f"{self.folder}/data/attempt={attempt}")
+        fs.mkdirs(marker.getParent())
+        _, aside = self._fs(f"{self.folder}/writing/{attempt}")
+        out = fs.create(aside, True)
+        out.writeBytes(attempt)
+        out.close()
+        if self._claim(fs, aside, marker):
+            return True
+        # another committer came first; its attempt counts
+        fs.delete(aside, False)
+        fs.delete(self._fs(f"{self.folder}/data/attempt={attempt}")[1], True)
+        return False
+
+    def _claim(self, fs, aside, marker) -> bool:
+        """Give the written marker its final name unless there is one, in one step of the file system."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        overwrite = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        context = hadoop.FileContext.getFileContext(marker.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(aside), fs.makeQualified(marker), overwrite)
+        except Py4JJavaError:
+            if fs.exists(marker):
+                return False
+            raise
         return True
 
     def totals(self) -> DataFrame:
+        """Sums over the attempts that a marker names; others were never committed."""
         fs, committed = self._fs(f"{self.folder}/committed")
         schema = "source string, lang string, tokenizer_version string, docs bigint, tokens bigint"
         if not fs.exists(committed):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/committed")
+        named = self.spark.read.text(f"{self.folder}/committed").withColumnRenamed("value", "attempt")
+        rows = self.spark.read.schema(f"{schema}, attempt string").parquet(f"{self.folder}/data")
+        rows = rows.join(named, "attempt", "left_semi")
         return (
             rows.groupBy(*KEYS)
             .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))

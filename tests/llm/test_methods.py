@@ -271,9 +271,85 @@ def test_commits_are_idempotent(spark):
         rollup.commit("../x", load)
 
 
+def test_racing_commits_count_once(spark):
+    rollup = TokenRollup(spark, f"{shared_folder(spark)}/test-race")
+    rows = spark.createDataFrame([("a", "en", 5)], "source string, lang string, n long")
+    load = changes(rows, "insert", new="n", version="v")
+
+    class Late(TokenRollup):
+        """Another committer has the batch after this one looked for it."""
+
+        def _claim(self, fs, aside, marker):
+            if not fs.exists(marker):
+                assert rollup.commit("one", load)
+            return super()._claim(fs, aside, marker)
+
+    assert not Late(spark, rollup.folder).commit("one", load)
+    assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(1, 5)]
+
+
+def test_attempts_without_a_marker_do_not_count(spark):
+    rollup = TokenRollup(spark, f"{shared_folder(spark)}/test-lost")
+    rows = spark.createDataFrame([("a", "en", 5)], "source string, lang string, n long")
+    load = changes(rows, "insert", new="n", version="v")
+
+    class Lost(TokenRollup):
+        def _claim(self, fs, aside, marker):
+            raise RuntimeError("driver lost")
+
+    with pytest.raises(RuntimeError):
+        Lost(spark, rollup.folder).commit("one", load)
+    assert rollup.totals().count() == 0
+    assert rollup.commit("empty", load.where("false")) and rollup.totals().count() == 0
+    assert rollup.commit("one", load.unionByName(load))
+    assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(2, 10)]
+
+
 # mixing
 
 
+def earliest_deadline(weights, scale, steps):
+    """Slot by slot: of the blocks released by now, one per source, the earliest deadline."""
+    done, chosen = [0] * len(weights), []
+    for t in range(steps):
+        open_ = [(-(-(j + 1) * scale // w), s) for s, (w, j) in enumerate(zip(weights, done, strict=True)) if w and j * scale // w <= t]
+        _, s = min(open_)
+        chosen.append((t, s, done[s]))
+        done[s] += 1
+    return chosen
+
+
+def test_schedule_against_slot_by_slot():
+    random_ = random.Random(11)
+    for _ in range(30):
+        target = [random_.choice([0.0, random_.random() ** 2, 0.5]) for _ in range(random_.randint(1, 7))] + [1.0]
+        blocks = [random_.randint(0, 90) for _ in target]
+        rows = iter(walked(target, blocks, 16))
+        left, start = list(blocks), 0
+        while any(left):
+            wanted = [w if n else 0.0 for w, n in zip(target, left, strict=True)]
+            weights = mixing.quotas(wanted, mixing.SCALE) if sum(wanted) else list(left)
+            base = [n - x for n, x in zip(blocks, left, strict=True)]
+            slots = earliest_deadline(weights, sum(weights), sum(left))
+            end = next((t for t, s, j in slots if j == left[s]), len(slots))
+            for t, s, j in slots[:end]:
+                got = next(rows)
+                assert (got[0], got[1], got[-1]) == (s, base[s] + j, start + t)
+                left[s] -= 1
+            start += end
+        assert next(rows, None) is None
+
+
+def test_rows_without_identifier_take_their_own_slots(spark):
+    rows = [(None, "a", i) for i in range(200)] + [(i // 4, "b", i) for i in range(200)] + [(7, None, i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, _slot long")
+    mixed = [tuple(r) for r in mixing.mix(docs, {"a": 1.0, "b": 1.0}, block_rows=1).collect()]
+    key = lambda r: tuple((x is not None, x or 0) for x in (r[0], r[2])) + (str(r[1]),)
+    assert sorted(mixed, key=key) == sorted(rows, key=key)
+    for i in range(1, 401):
+        assert abs(sum(1 for r in mixed[:i] if r[1] == "a") - i / 2) <= 1, i
+
+
 def test_less_than_one_block_from_target():
     random_ = random.Random(3)
     for _ in range(40):
