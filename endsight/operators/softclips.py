@@ -22,9 +22,9 @@ DINUCLEOTIDES = ("AA", "AT", "GC", "CG")
 MAX_TRAIN_SITES = 5_000
 
 
-def softclip_rows(sites: DataFrame, reads: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    """One row per site and clipped end of at least two bases of the reads around it."""
-    ends = usable_reads(reads, cfg).selectExpr(
+def _ends(reads: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """One row per clipped end of at least two bases."""
+    return usable_reads(reads, cfg).selectExpr(
         "chrom",
         "ref_start",
         "ref_end",
@@ -32,6 +32,24 @@ def softclip_rows(sites: DataFrame, reads: DataFrame, cfg: FeatureConfig) -> Dat
         "mapq as mapping_quality",
         "stack(2, 'left', left_seq, ref_start, 'right', right_seq, ref_end) as (side, sequence, read_position)",
     ).where(f"length(sequence) >= {MIN_CLIP} and ref_end > 0")
+
+
+def softclip_rows(sites: DataFrame, reads: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """One row per site and clipped end of at least two bases of the reads around it."""
+    return _around(sites, _ends(reads, cfg), cfg)
+
+
+def softclip_counts(sites: DataFrame, reads: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """The rows of :func:`softclip_rows` with equal ones of one read end as one row that counts ``n``.
+
+    Equal clipped ends collapse before the join with the sites, so a deep locus adds to
+    counts and the join's input is bounded by distinct ends.
+    """
+    ends = _ends(reads, cfg)
+    return _around(sites, ends.groupBy(*ends.columns).agg(F.count(F.lit(1)).alias("n")), cfg)
+
+
+def _around(sites: DataFrame, ends: DataFrame, cfg: FeatureConfig) -> DataFrame:
     w = cfg.window_size
     pairs = overlap_join(
         sites.select(*SITE).distinct(),
@@ -50,6 +68,7 @@ def softclip_rows(sites: DataFrame, reads: DataFrame, cfg: FeatureConfig) -> Dat
         "abs(read_position - position) as distance_to_site",
         "length(sequence) as sequence_length",
         "mapping_quality",
+        *(["n"] if "n" in ends.columns else []),
     )
 
 
@@ -59,6 +78,17 @@ def label_softclips(clips: DataFrame, reference: DataFrame, site_type: str, *, t
     return proximity_label(typed, reference, tolerance=tolerance).drop("site_type")
 
 
+def label_clips_by_site(
+    clips: DataFrame, sites: DataFrame, reference: DataFrame, *, tolerance: int = LABEL_TOLERANCE
+) -> DataFrame:
+    """Clips with ``site_type`` and the label of their site under each type.
+
+    Every distinct site of ``sites`` is labelled once, however many clips it has.
+    """
+    where = sites.select(*SITE).distinct().selectExpr("*", "explode(array('TSS', 'TES')) as site_type")
+    return skew_join(clips, proximity_label(where, reference, tolerance=tolerance), SITE, "inner")
+
+
 def reconcile_counts(features: DataFrame, clips: DataFrame) -> DataFrame:
     """Sites whose clip count in the feature table agrees with the clip rows, however deep the site."""
     counted = clips.where("clip_type = 'start'").groupBy(*SITE).agg(F.count(F.lit(1)).alias("rows"))

@@ -299,10 +299,10 @@ def bed12(exons: DataFrame, *, order: Column, start: str = "start", end: str = "
 
 
 def prediction_truth(
-    predictions: DataFrame, labels: DataFrame, *, threshold: float = 0.5
+    predictions: DataFrame, labels: DataFrame, *, threshold: float = 0.5, keys: Sequence[str] = ("chrom", "position")
 ) -> DataFrame:
-    """Predictions with true labels on (chrom, position) and their TP/FP/TN/FN class (p > threshold)."""
-    joined = predictions.join(labels.select("chrom", "position", "label"), ["chrom", "position"])
+    """Predictions with true labels on ``keys`` and their TP/FP/TN/FN class (p > threshold)."""
+    joined = predictions.join(labels.select(*keys, "label"), list(keys))
     return joined.withColumn(
         "outcome",
         F.expr(
@@ -313,12 +313,18 @@ def prediction_truth(
 
 
 def false_negatives(
-    labeled: DataFrame, predictions: DataFrame, *, threshold: float = 0.5, confidence: float = 0.9
+    labeled: DataFrame,
+    predictions: DataFrame,
+    *,
+    threshold: float = 0.5,
+    confidence: float = 0.9,
+    keys: Sequence[str] = ("chrom", "position"),
 ) -> DataFrame:
-    """True sites the model missed, ``high_confidence`` where the probability is below 1 - confidence."""
-    joined = labeled.where("label = 1").join(
-        predictions.select("chrom", "position", "probability"), ["chrom", "position"]
-    )
+    """True sites the model missed, ``high_confidence`` where the probability is below 1 - confidence.
+
+    With ``site_type`` among ``keys`` both types of site go through one join.
+    """
+    joined = labeled.where("label = 1").join(predictions.select(*keys, "probability"), list(keys))
     return joined.where(F.col("probability") < threshold).withColumn(
         "high_confidence", F.col("probability") < (1 - confidence)
     )

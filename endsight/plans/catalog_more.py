@@ -61,14 +61,18 @@ def prj_10(spark, sf_dir):
 @query(
     "jon_22_softclip_label",
     with_views(
-        f"""with {CLIP_ROWS_SQL}, lab as (select c.*, exists (select 1 from v_ref_site r where r.site_type = 'TSS' and r.chrom = c.chrom and r.strand = c.strand and r.position between c.position - 50 and c.position + 50)::int as label
-          from (select chrom, position, strand, clip_type, count(*) as n from clips group by all) c) select clip_type, label, sum(n)::bigint as clips from lab group by all""",
+        f"""with {CLIP_ROWS_SQL}, lab as (select c.*, t.site_type, exists (select 1 from v_ref_site r where r.site_type = t.site_type and r.chrom = c.chrom and r.strand = c.strand and r.position between c.position - 50 and c.position + 50)::int as label
+          from (select chrom, position, strand, clip_type, count(*) as n from clips group by all) c cross join (values ('TSS'), ('TES')) t(site_type))
+          select site_type, clip_type, label, sum(n)::bigint as clips from lab group by all""",
         "v_tx", "v_aln", "v_ref_site",
     ),
 )
 def jon_22(spark, sf_dir):
-    labeled = P.label_softclips(clip_rows(spark, sf_dir), view(spark, sf_dir, "v_ref_site"), "TSS")
-    return labeled.groupBy("clip_type", "label").agg(F.count(F.lit(1)).alias("clips"))
+    """Clips by the label of their site, for both types of site."""
+    sites = tx_sites(spark, sf_dir)
+    counts = P.softclip_counts(sites, alignments(spark, sf_dir), CFG).groupBy(*SITE, "clip_type").agg(F.sum("n").alias("n"))
+    labeled = P.label_clips_by_site(counts, sites, view(spark, sf_dir, "v_ref_site"))
+    return labeled.groupBy("site_type", "clip_type", "label").agg(F.sum("n").alias("clips"))
 
 
 @query(

@@ -9,7 +9,7 @@ from endsight.operators import transcripts as T
 from endsight.plans.catalog import query
 from endsight.plans.catalog_annotation import gtf_lines, lines_sql
 from endsight.plans.catalog_sites import SITES_SQL, tx_sites
-from endsight.plans.catalog_transcripts import LABELED_SCORES_SQL, site_labels, site_predictions
+from endsight.plans.catalog_transcripts import LABELED_SCORES_SQL, TYPED, site_labels, site_predictions
 from endsight.plans.views import view, with_views
 from endsight.sources.tables import bed_lines
 
@@ -55,20 +55,19 @@ def snk_05(spark, sf_dir):
 @query(
     "snk_07_bed_error_export",
     with_views(
-        f"""with {LABELED_SCORES_SQL} select concat_ws(chr(9), chrom, (case when strand = '+' then position else position - 100 end)::varchar,
-              (case when strand = '+' then position + 100 else position end)::varchar, 'TSS_FN_' || position, trunc(probability * 1000)::int::varchar, strand) as value
-            from lab join pred using (chrom, position) where lab.site_type = 'TSS' and pred.site_type = 'TSS' and label = 1 and probability < 0.5 and probability < 1 - 0.9""",
+        f"""with {LABELED_SCORES_SQL} select concat_ws(chr(9), chrom, (case when (site_type = 'TSS') = (strand = '+') then position else position - 100 end)::varchar,
+              (case when (site_type = 'TSS') = (strand = '+') then position + 100 else position end)::varchar, site_type || '_FN_' || position, trunc(probability * 1000)::int::varchar, strand) as value
+            from lab join pred using (chrom, position, site_type) where label = 1 and probability < 0.5 and probability < 1 - 0.9""",
         "v_tx", "v_ref_site", "v_score",
     ),
 )
 def snk_07(spark, sf_dir):
-    lab = site_labels(spark, sf_dir).where("site_type = 'TSS'").drop("site_type")
-    pred = site_predictions(spark, sf_dir).where("site_type = 'TSS'")
-    missed = T.false_negatives(lab, pred).where("high_confidence")
-    low, high = T.bed_window(F.lit("TSS"), F.col("strand"), F.col("position"))
+    missed = T.false_negatives(site_labels(spark, sf_dir), site_predictions(spark, sf_dir), keys=TYPED)
+    missed = missed.where("high_confidence")
+    low, high = T.bed_window(F.col("site_type"), F.col("strand"), F.col("position"))
     return bed_lines(
         missed.select(
-            "chrom", low.alias("s"), high.alias("e"), F.concat(F.lit("TSS_FN_"), F.col("position")).alias("name"),
+            "chrom", low.alias("s"), high.alias("e"), F.concat("site_type", F.lit("_FN_"), "position").alias("name"),
             (F.col("probability") * 1000).cast("int").alias("score"), "strand",
         )
     )

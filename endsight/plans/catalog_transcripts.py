@@ -344,6 +344,10 @@ pred as (select chrom, position, site_type, max(p_site_rf) as probability from s
 lab as (select chrom, position, strand, site_type, max(label) as label from labeled group by all)"""
 
 
+# Sites of both types go through one join.
+TYPED = ("chrom", "position", "site_type")
+
+
 def site_predictions(spark, sf_dir):
     joined = tx_sites(spark, sf_dir).join(view(spark, sf_dir, "v_score"), "transcript_id")
     return joined.groupBy("chrom", "position", "site_type").agg(F.max("p_site_rf").alias("probability"))
@@ -356,43 +360,39 @@ def site_labels(spark, sf_dir):
 @query(
     "jon_15_false_negatives",
     with_views(
-        f"""with {LABELED_SCORES_SQL} select chrom, position, strand, label, probability, probability < 1 - 0.9 as high_confidence
-            from lab join pred using (chrom, position) where lab.site_type = 'TSS' and pred.site_type = 'TSS' and label = 1 and probability < 0.5""",
+        f"""with {LABELED_SCORES_SQL} select chrom, position, strand, site_type, label, probability, probability < 1 - 0.9 as high_confidence
+            from lab join pred using (chrom, position, site_type) where label = 1 and probability < 0.5""",
         "v_tx", "v_ref_site", "v_score",
     ),
 )
 def jon_15(spark, sf_dir):
-    lab = site_labels(spark, sf_dir).where("site_type = 'TSS'").drop("site_type")
-    pred = site_predictions(spark, sf_dir).where("site_type = 'TSS'")
-    return T.false_negatives(lab, pred)
+    return T.false_negatives(site_labels(spark, sf_dir), site_predictions(spark, sf_dir), keys=TYPED)
 
 
 @query(
     "jon_25_prediction_truth_join",
     with_views(
         f"""with {LABELED_SCORES_SQL}
-            select pred.chrom, pred.position, probability, label, case when label = 1 and probability > 0.5 then 'TP' when label = 0 and probability > 0.5 then 'FP'
+            select chrom, position, site_type, probability, label, case when label = 1 and probability > 0.5 then 'TP' when label = 0 and probability > 0.5 then 'FP'
               when label = 0 then 'TN' else 'FN' end as outcome
-            from pred join lab using (chrom, position) where lab.site_type = 'TES' and pred.site_type = 'TES'""",
+            from pred join lab using (chrom, position, site_type)""",
         "v_tx", "v_ref_site", "v_score",
     ),
 )
 def jon_25(spark, sf_dir):
-    lab = site_labels(spark, sf_dir).where("site_type = 'TES'")
-    pred = site_predictions(spark, sf_dir).where("site_type = 'TES'").drop("site_type")
-    return T.prediction_truth(pred, lab)
+    return T.prediction_truth(site_predictions(spark, sf_dir), site_labels(spark, sf_dir), keys=TYPED)
 
 
 @query(
     "jon_24_label_agreement",
     with_views(
-        f"""with {LABELED_SQL} select transcript_id, strand, label as site_label, (class_code = '=')::int as transcript_label
-            from labeled join v_tmap on qry_id = transcript_id where site_type = 'TSS' and label <> (class_code = '=')::int""",
+        f"""with {LABELED_SQL} select transcript_id, site_type, strand, label as site_label, (class_code = '=')::int as transcript_label
+            from labeled join v_tmap on qry_id = transcript_id where label <> (class_code = '=')::int""",
         "v_tx", "v_ref_site", "v_tmap",
     ),
 )
 def jon_24(spark, sf_dir):
-    sites = labeled_sites(spark, sf_dir).where("site_type = 'TSS'").selectExpr("transcript_id", "strand", "label as site_label")
+    sites = labeled_sites(spark, sf_dir).selectExpr("transcript_id", "site_type", "strand", "label as site_label")
     return T.label_disagreement(sites, labels(spark, sf_dir).selectExpr("transcript_id", "label as transcript_label"))
 
 

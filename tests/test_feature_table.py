@@ -3,6 +3,7 @@
 import pytest
 
 from endsight.operators import features as X
+from endsight.operators import softclips as P
 
 READ = (
     "chrom string, ref_start long, ref_end long, mapq int, is_reverse boolean, ts string, cigar string, seq string"
@@ -64,3 +65,21 @@ def test_no_reads(reads, sites):
     table = X.site_features(sites, reads.where("false"))
     assert table.count() == 13
     assert table.where("total_reads = 0 and nearest_splice_dist = 300").count() == 13
+
+
+def test_equal_clips_collapse_before_the_join(reads, sites):
+    cfg = X.FeatureConfig()
+    names = [*X.SITE, "clip_type", "sequence", "read_position", "mapping_quality"]
+    rows = P.softclip_rows(sites, reads, cfg).groupBy(*names).count()
+    sums = P.softclip_counts(sites, reads, cfg).groupBy(*names).agg({"n": "sum"})
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, sums.collect()))
+    assert rows.where("count > 1").count() > 0
+
+
+def test_site_labels_reach_every_clip(reads, sites):
+    reference = sites.where("position = 1000").selectExpr("*", "'TSS' as site_type")
+    clips = P.softclip_rows(sites, reads, X.FeatureConfig())
+    by_site = P.label_clips_by_site(clips, sites, reference)
+    one = P.label_softclips(clips, reference, "TSS")
+    assert sorted(map(str, by_site.where("site_type = 'TSS'").select(*one.columns).collect())) == sorted(map(str, one.collect()))
+    assert by_site.where("site_type = 'TES' and label = 1").count() == 0
