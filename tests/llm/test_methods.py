@@ -475,23 +475,97 @@ def test_counts_against_brute_force(spark, documents):
         assert not (row.kept and row.base_failed)
 
 
-def test_model_sums_to_one():
-    counts = np.zeros(quality.CLASSES**quality.ORDER, dtype=np.int64)
-    text = "the cat sat on the mat. a dog, a log, 12 frogs and the cats\n" * 3 + "Übung macht"
-    for g in quality.grams(text):
-        np.add.at(counts, g, 1)
-    seen = np.flatnonzero(counts)
-    levels = quality.kneser_ney(seen, counts[seen])
-    for context in (seen[0] // 32, seen[40] // 32, 12345):
-        total = sum(np.exp(quality.log_probability(levels, np.array([context * 32 + k]))) for k in range(32))
-        assert abs(total - 1) < 1e-4
+def slow_chances(texts):
+    """Modified Kneser-Ney over dictionaries: a function of a 4-gram, nothing left out."""
+    tables = {4: collections.Counter()}
+    for text in texts:
+        padded = "   " + text.lower()
+        tables[4].update({padded[i : i + 4] for i in range(len(padded) - 3)})
+    for order in (3, 2, 1):
+        tables[order] = collections.Counter(g[1:] for g in tables[order + 1])
+    followers = {}
+    for table in tables.values():
+        for g, n in table.items():
+            followers.setdefault(g[:-1], {}).setdefault(len(g), []).append(n)
+    cuts = {}
+    for order, table in tables.items():
+        n1, n2, n3, n4 = (sum(n == k for n in table.values()) for k in (1, 2, 3, 4))
+        if min(n1, n2, n3, n4) == 0:
+            cuts[order] = (0, 0.5, 0.5, 0.5)
+        else:
+            y = n1 / (n1 + 2 * n2)
+            raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+            cuts[order] = (0, *(min(max(x, 0.05), most) for x, most in zip(raw, (0.95, 1.95, 2.95), strict=True)))
+
+    def chance(g):
+        if not g:
+            return 1 / (len(tables[1]) + 1)
+        seen = followers.get(g[:-1], {}).get(len(g), [])
+        if not seen:
+            return chance(g[1:])
+        cut, n = cuts[len(g)], tables[len(g)][g]
+        left = sum(cut[min(x, 3)] for x in seen)
+        return (n - cut[min(n, 3)] + left * chance(g[1:])) / sum(seen)
+
+    return chance
+
+
+LANGUAGES = {
+    "en": ["the cat sat on the mat. A dog, a log, 12 frogs and the cats\n", "the mat and the cat", "frogs sat", "the dog && the log"] * 2,
+    "ru": ["кошка сидит на окне, а собака на полу", "на окне кошка", "собака и кошка"],
+    None: ["übung macht den meister", "\U0001f600 meister \U0001f600"],
+}
+
+
+def models_of(spark, **shares):
+    rows = [(i, text, lang) for lang, texts in LANGUAGES.items() for i, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return docs, quality.fit(docs, **shares)
+
+
+def pairs(grams):
+    codes = np.array([[ord(c) for c in g] for g in grams], dtype=np.int64)
+    return (codes[:, 0] << 21) | codes[:, 1], (codes[:, 2] << 21) | codes[:, 3]
+
+
+def test_perplexity_against_dictionaries(spark):
+    docs, models = models_of(spark)
+    assert set(models) == {"=en", "=ru", ""}
+    got = {(r._lang, r._id): r.log_perplexity for r in quality.score(docs, models).collect()}
+    for lang, texts in LANGUAGES.items():
+        chance = slow_chances(texts)
+        for i, text in enumerate(texts):
+            padded = "   " + text.lower()
+            logs = [np.log(chance(padded[k : k + 4])) for k in range(len(text))]
+            assert abs(got[lang, i] + np.mean(logs)) < 1e-4
+
+
+def test_scrambled_letters_are_told_apart(spark):
+    _, models = models_of(spark)
+    clean, moved = "на окне кошка", "".join(chr(ord(c) + 3) if c > "я" or "а" <= c <= "ь" else c for c in "на окне кошка")
+    scores = [quality.log_chances(models["=ru"], *(np.concatenate(x) for x in zip(*quality.grams(t), strict=True))).mean() for t in (clean, moved)]
+    assert scores[0] > scores[1] + 1
+
+
+@pytest.mark.parametrize("shares", [{}, {"share": 0.02}, {"share": 0.0, "share_of_all": 0.01}, {"share": 2.0}])
+def test_model_sums_to_one(spark, shares):
+    """Also where rare n-grams, or all, are left to the back-off."""
+    _, models = models_of(spark, **shares)
+    letters = sorted({c for text in LANGUAGES["en"] for c in text.lower()})
+    for context in ("the", "cat", " && "[:3], "zzz", "   "):
+        known = quality.log_chances(models["=en"], *pairs([context + c for c in letters]))
+        other = quality.log_chances(models["=en"], *pairs([context + "\u4e00"]))
+        assert abs(np.exp(known).sum() + np.exp(other).sum() - 1) < 1e-4
+    if shares.get("share"):
+        assert all(len(level[0]) <= 1 / shares["share"] for level in models["=en"][0])
 
 
 def test_grams_of_chunks(monkeypatch):
     text = "Some words, mixed Ünïcode 123 and more.\n" * 5
-    whole = np.concatenate(list(quality.grams(text)))
+    whole = [np.concatenate(x) for x in zip(*quality.grams(text), strict=True)]
     monkeypatch.setattr(quality, "CHUNK", 7)
-    assert (np.concatenate(list(quality.grams(text))) == whole).all() and len(whole) == len(text)
+    parts = [np.concatenate(x) for x in zip(*quality.grams(text), strict=True)]
+    assert all((a == b).all() and len(a) == len(text) for a, b in zip(whole, parts, strict=True))
 
 
 def test_clean_documents_stay(spark):
