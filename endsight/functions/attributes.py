@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -67,9 +68,27 @@ def _replace_first(attrs: Column, pattern: str, literal: Column) -> Column:
     return F.concat(before, literal, rest)
 
 
+def score_text(value: Column) -> Column:
+    """Shortest decimal text of a number; an exponent only below 1e-4 and from 1e16, as in ``1e-05``.
+
+    Digits are those of the JVM, which writes the least denormal as ``4.9e-324``.  Text that is no number with an
+    exponent, and null, stay as they are.
+    """
+    text = value.cast("string")
+    wide = F.regexp_replace(text.try_cast("decimal(38,17)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    powers = ((r"E-([0-9])$", "e-0$1"), (r"E-([0-9]+)$", "e-$1"), (r"E([0-9]+)$", "e+$1"), (r"\.0e", "e"))
+    short = functools.reduce(lambda t, p: F.regexp_replace(t, *p), powers, text)
+    return (
+        F.when(~text.rlike(r"^-?[0-9]\.[0-9]+E-?[0-9]+$"), text)
+        .when(text.endswith("E-4"), F.regexp_replace(text, r"^(-?)([0-9])\.(?:0(?=E)|([0-9]+))E-4$", "$10.000$2$3"))
+        .when(text.rlike(r"E([7-9]|1[0-5])$"), wide)
+        .otherwise(short)
+    )
+
+
 def set_coverage(attrs: Column, value: Column) -> Column:
     """Write ``cov "<value>"`` over the first ``cov`` or ``coverage`` entry, or append it."""
-    literal = F.concat(F.lit('cov "'), value.cast("string"), F.lit('"'))
+    literal = F.concat(F.lit('cov "'), score_text(value), F.lit('"'))
     tail = F.rtrim(attrs)
     closed = F.when((tail == "") | tail.endswith(";"), tail).otherwise(F.concat(tail, F.lit(";")))
     appended = F.when(closed == "", F.concat(literal, F.lit(";"))).otherwise(

@@ -294,38 +294,53 @@ def agg_25_rollup(spark, sf_dir):
     return S.label_stats_rollup(stats, ["site_type"], tool="chrom")
 
 
+#: Assemblers compared with one another.
+PAIRS = (("stringtie", "isoquant"), ("stringtie", "scallop2"), ("isoquant", "scallop2"))
+
+
 def assembly_sites(spark, sf_dir, assembler):
     a = view(spark, sf_dir, "v_assembly").where(F.col("assembler_id") == assembler)
-    return a.selectExpr(
-        "chrom", "'+' as strand", "stack(2, 'TSS', tss, 'TES', tes) as (site_type, position)"
-    )
+    return a.selectExpr("chrom", "strand", "stack(2, 'TSS', tss, 'TES', tes) as (site_type, position)")
+
 
+def each_pair(spark, sf_dir, compare):
+    """``compare`` of the sites of every two assemblers, with their names."""
+    parts = [
+        compare(assembly_sites(spark, sf_dir, a), assembly_sites(spark, sf_dir, b)).withColumns({"first": F.lit(a), "second": F.lit(b)})
+        for a, b in PAIRS
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-ASM_SQL = """sa as (select distinct assembler_id, site_type, chrom, position from (select assembler_id, 'TSS' as site_type, chrom, tss as position from v_assembly
-  union all select assembler_id, 'TES', chrom, tes from v_assembly)), a as (select * from sa where assembler_id = 'stringtie'), b as (select * from sa where assembler_id = 'isoquant')"""
 
+ASM_SQL = f"""sa as (select distinct assembler_id, site_type, chrom, strand, position from (select assembler_id, 'TSS' as site_type, chrom, strand, tss as position from v_assembly
+  union all select assembler_id, 'TES', chrom, strand, tes from v_assembly)), pairs(first, second) as (values {", ".join(map(str, PAIRS))}),
+  a as (select p.first, p.second, site_type, chrom, strand, position from sa join pairs p on p.first = assembler_id), b as (select p.first, p.second, site_type, chrom, strand, position from sa join pairs p on p.second = assembler_id)"""
+SAME_PLACE = "{0}.first = {1}.first and {0}.second = {1}.second and {0}.site_type = {1}.site_type and {0}.chrom = {1}.chrom and {0}.strand = {1}.strand"
 
-def overlap_sql(second: str) -> str:
+
+def overlap_sql(symmetric: bool) -> str:
+    near = "exists (select 1 from {1} where " + SAME_PLACE + " and {1}.position between {0}.position - 50 and {0}.position + 50)"
+    equal = "exists (select 1 from {1} where " + SAME_PLACE + " and {1}.position = {0}.position)"
     return with_views(
         f"""with {ASM_SQL}, c as (
-          select site_type, sum((not h)::int * (side = 1)::int)::bigint as only_first, sum((not h)::int * (side = 2)::int)::bigint as only_second, sum(h::int * (side = 1)::int)::bigint as shared
-          from (select a.site_type, 1 as side, exists (select 1 from b where b.site_type = a.site_type and b.chrom = a.chrom and b.position between a.position - 50 and a.position + 50) as h from a
-                union all select b.site_type, 2, {second} from b) group by 1)
-        select site_type, only_first, only_second, shared as "both", round(only_first * 100.0 / (only_first + only_second + shared)::double, 6) as only_first_pct,
+          select first, second, site_type, sum((not h)::int * (side = 1)::int)::bigint as only_first, sum((not h)::int * (side = 2)::int)::bigint as only_second, sum(h::int * (side = 1)::int)::bigint as shared
+          from (select a.first, a.second, a.site_type, 1 as side, {near.format("a", "b")} as h from a
+                union all select b.first, b.second, b.site_type, 2, {(near if symmetric else equal).format("b", "a")} from b) group by all)
+        select first, second, site_type, only_first, only_second, shared as "both", round(only_first * 100.0 / (only_first + only_second + shared)::double, 6) as only_first_pct,
           round(only_second * 100.0 / (only_first + only_second + shared)::double, 6) as only_second_pct, round(shared * 100.0 / (only_first + only_second + shared)::double, 6) as both_pct,
           only_first + only_second + shared as total from c""",
         "v_assembly",
     )
 
 
-@query("jon_16_site_set_overlap", overlap_sql("exists (select 1 from a where a.site_type = b.site_type and a.chrom = b.chrom and a.position = b.position)"))
+@query("jon_16_site_set_overlap", overlap_sql(False))
 def jon_16(spark, sf_dir):
-    return S.set_overlap(assembly_sites(spark, sf_dir, "stringtie"), assembly_sites(spark, sf_dir, "isoquant"))
+    return each_pair(spark, sf_dir, S.set_overlap)
 
 
-@query("jon_16_site_set_overlap_symmetric", overlap_sql("exists (select 1 from a where a.site_type = b.site_type and a.chrom = b.chrom and a.position between b.position - 50 and b.position + 50)"))
+@query("jon_16_site_set_overlap_symmetric", overlap_sql(True))
 def jon_16_symmetric(spark, sf_dir):
-    return S.set_overlap(assembly_sites(spark, sf_dir, "stringtie"), assembly_sites(spark, sf_dir, "isoquant"), symmetric=True)
+    return each_pair(spark, sf_dir, lambda a, b: S.set_overlap(a, b, symmetric=True))
 
 
 # ---- consensus ----
@@ -429,15 +444,19 @@ def set_01(spark, sf_dir):
 @query(
     "set_03_intersect_except",
     with_views(
-        f"""with {ASM_SQL} select 'common' as kind, site_type, chrom, position from (select site_type, chrom, position from a intersect select site_type, chrom, position from b)
-        union all select 'first_only', site_type, chrom, position from (select site_type, chrom, position from a except select site_type, chrom, position from b)""",
+        f"""with {ASM_SQL} select 'common' as kind, * from (select * from a intersect select * from b)
+        union all select 'first_only', * from (select * from a except select * from b)""",
         "v_assembly",
     ),
 )
 def set_03(spark, sf_dir):
-    a, b = (assembly_sites(spark, sf_dir, n).select("site_type", "chrom", "position") for n in ("stringtie", "isoquant"))
-    common = a.intersect(b).withColumn("kind", F.lit("common"))
-    return common.unionByName(a.subtract(b).withColumn("kind", F.lit("first_only")))
+    def kinds(a, b):
+        columns = ["site_type", "chrom", "strand", "position"]
+        a, b = a.select(*columns), b.select(*columns)
+        common = a.intersect(b).withColumn("kind", F.lit("common"))
+        return common.unionByName(a.subtract(b).withColumn("kind", F.lit("first_only")))
+
+    return each_pair(spark, sf_dir, kinds)
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -129,17 +130,25 @@ def agg_18_stats(spark, sf_dir):
 @query(
     "agg_40_site_clip_dataset",
     with_views(
-        f"""with {CLIP_ROWS_SQL}, long as (select chrom, position, strand, count(*) as sequences from clips where clip_type = 'start' and length(trim(sequence)) >= 5 group by all),
-        lab as (select l.*, exists (select 1 from v_ref_site r where r.site_type = 'TSS' and r.chrom = l.chrom and r.strand = l.strand and r.position between l.position - 50 and l.position + 50)::int as label from long l),
-        o as (select *, row_number() over (partition by label order by sha1(chrom || '|' || position || '|' || strand), chrom, position, strand) as i from lab)
-        select chrom, position, strand, label, sequences from o
-        where i <= least(2500, (select min(n) from (select count(*) as n from lab group by label)))""",
+        f"""with {CLIP_ROWS_SQL}, long as (select clip_type, chrom, position, strand, count(*) as sequences from clips where length(trim(sequence)) >= 5 group by all),
+        lab as (select l.*, t.site_type, exists (select 1 from v_ref_site r where r.site_type = t.site_type and r.chrom = l.chrom and r.strand = l.strand and r.position between l.position - 50 and l.position + 50)::int as label from long l cross join (values ('TSS'), ('TES')) t(site_type)),
+        o as (select *, row_number() over (partition by site_type, clip_type, label order by sha1(chrom || '|' || position || '|' || strand), chrom, position, strand) as i from lab),
+        m as (select site_type, clip_type, min(n) as least_n from (select site_type, clip_type, count(*) as n from lab group by site_type, clip_type, label) group by all)
+        select site_type, clip_type, chrom, position, strand, label, sequences from o join m using (site_type, clip_type) where i <= least(2500, least_n)""",
         "v_tx", "v_aln", "v_ref_site",
     ),
 )
 def agg_40(spark, sf_dir):
-    labeled = P.label_softclips(clip_rows(spark, sf_dir), view(spark, sf_dir, "v_ref_site"), "TSS")
-    return P.site_clip_dataset(labeled, "start")
+    """A balanced sample for each type of site and each kind of clip."""
+    clips, reference = cut_lineage(clip_rows(spark, sf_dir)), view(spark, sf_dir, "v_ref_site")
+    parts = [
+        P.site_clip_dataset(P.label_softclips(clips, reference, site_type), clip_type).withColumns(
+            {"site_type": F.lit(site_type), "clip_type": F.lit(clip_type)}
+        )
+        for site_type in S.SITE_TYPES
+        for clip_type in ("start", "end")
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 # ---- manifests ----

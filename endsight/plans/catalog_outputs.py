@@ -90,11 +90,15 @@ def srt_02(spark, sf_dir):
 @query(
     "set_02_training_union",
     with_views(
-        f"""with {SITES_SQL} select 'tx' as source, site_type, chrom, position from site union all select 'stringtie', 'TSS', chrom, tss from v_assembly where assembler_id = 'stringtie'""",
+        f"""with {SITES_SQL} select 'tx' as source, site_type, chrom, strand, position from site union all select assembler_id, 'TSS', chrom, strand, tss from v_assembly
+        union all select assembler_id, 'TES', chrom, strand, tes from v_assembly""",
         "v_tx", "v_assembly",
     ),
 )
 def set_02(spark, sf_dir):
-    tx = tx_sites(spark, sf_dir).select(F.lit("tx").alias("source"), "site_type", "chrom", "position")
-    asm = view(spark, sf_dir, "v_assembly").where("assembler_id = 'stringtie'")
-    return tx.unionByName(asm.selectExpr("'stringtie' as source", "'TSS' as site_type", "chrom", "tss as position"))
+    """Sites of both types, of the transcripts and of every assembly, one frame to train on."""
+    tx = tx_sites(spark, sf_dir).select(F.lit("tx").alias("source"), "site_type", "chrom", "strand", "position")
+    asm = view(spark, sf_dir, "v_assembly").selectExpr(
+        "assembler_id as source", "stack(2, 'TSS', tss, 'TES', tes) as (site_type, position)", "chrom", "strand"
+    )
+    return tx.unionByName(asm)
