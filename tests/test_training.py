@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from endsight.operators import models as M
+from endsight.plans import jobs
 
 
 def test_rows_are_scored_once(spark):
@@ -16,3 +17,21 @@ def test_rows_are_scored_once(spark):
     df = spark.range(40).selectExpr("id", "int(id % 2) as label", "id % 3 as g").withColumn("p", score("id"))
     assert {r.n_items for r in M.validation_metrics(df, "p", ["g"]).collect()} == {13, 14}
     assert seen.value == 40
+
+
+def test_ends_take_the_best_probabilities_of_a_coordinate(spark):
+    features = spark.createDataFrame([("chr1", 5, "+", 3), ("chr1", 90, "+", 4)], "chrom string, position long, strand string, total_reads long")
+    scored = spark.createDataFrame(
+        [("a", "TSS", "chr1", 5, "+", 0.2, 0.9), ("b", "TSS", "chr1", 5, "+", 0.7, 0.1), ("a", "TES", "chr1", 90, "+", None, 0.3)],
+        "transcript_id string, site_type string, chrom string, position long, strand string, p_site_rf double, p_site_xgb double",
+    )
+    cov = spark.createDataFrame(
+        [("a", "+", "1", "1", 5, 90, 2.0, 4, 4, 4, 4, 4.0, 4, 1)],
+        "transcript_id string, strand string, tss_chrom string, tes_chrom string, tss_pos long, tes_pos long, coverage double, first_exon_length long,"
+        " last_exon_length long, max_exon_length long, min_exon_length long, mean_exon_length double, total_exon_length long, exon_count long",
+    )
+    ends = jobs.transcript_ends(cov, features, scored)
+    got = {b: jobs.transcript_rows(ends, b).first() for b in jobs.BACKENDS}
+    assert [(r.probability_tss, r.probability_tes) for r in got.values()] == [(0.7, 0.5), (0.9, 0.3)]
+    assert {(r.total_reads_tss, r.total_reads_tes, r.transcript_length) for r in got.values()} == {(3, 4, 85)}
+    assert not any(c.startswith("p_site") for c in M.feature_names(jobs.transcript_rows(ends, "rf")))
