@@ -79,7 +79,8 @@ def tmap_items(lines: DataFrame) -> DataFrame:
     """
     tabs, blanks = F.split("value", "\t"), F.split(F.trim("value"), r"\s+")
     usable = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    p = usable.withColumn("p", F.when(F.size(tabs) >= 10, tabs).otherwise(blanks)).where("size(p) >= 10")
+    # filters stay above an explode; below, each of them would split the line again
+    p = usable.select("row_no", F.explode(F.array(F.when(F.size(tabs) >= 10, tabs).otherwise(blanks))).alias("p")).where("size(p) >= 10")
     return p.where("p[0] <> 'ref_gene_id'").selectExpr(
         "row_no", "p[1] as ref_id", "if(p[2] = '', '@', left(p[2], 1)) as class_code",
         "try_cast(p[6] as double) as fpkm", "try_cast(p[7] as double) as tpm", "try_cast(p[8] as double) as cov",
