@@ -8,7 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The attribute patterns of the annotation format.
+# The attribute patterns of the annotation format, its white space.
+SPACES = " \t\n\x0b\f\r"
 COVERAGE_PATTERN = '(?<![A-Za-z0-9_])coverage "([^"]*)"'
 COV_PATTERN = '(?<![A-Za-z0-9_])cov "([^"]*)"'
 
@@ -18,38 +19,56 @@ def quoted_attribute(attrs: Column, key: str) -> Column:
     return F.nullif(F.regexp_extract(attrs, re.escape(key) + r'\s+"([^"]+)"', 1), F.lit(""))
 
 
+def _first_word(text: Column) -> Column:
+    """What stands before the first white space."""
+    return F.substring_index(F.translate(text, SPACES, " " * len(SPACES)), " ", 1)
+
+
 def attributes_map(attrs: Column) -> Column:
     """All attributes as a map; accepts quoted, bare and ``key=value`` entries, last one wins."""
     parts = F.filter(
         F.transform(F.split(attrs, ";"), lambda p: F.trim(p)), lambda p: F.length(p) > 0
     )
-
-    def entry(part: Column) -> Column:
-        quoted = part.rlike(r'^\S+\s+"[^"]*"')
-        equals = part.contains("=") & ~part.rlike(r'^\S+\s+"')
+    # first word and rest; cut once per part, as a lambda evaluates every mention of an expression anew
+    cut = F.transform(parts, lambda p: F.struct(p.alias("part"), _first_word(p).alias("word")))
+    named = F.transform(
+        cut,
+        lambda c: F.struct(
+            c["part"].alias("part"), c["word"].alias("word"),
+            F.ltrim(F.substring(c["part"], F.length(c["word"]) + 1, F.length(c["part"])), F.lit(SPACES)).alias("rest"),
+        ),
+    )
+
+    def entry(e: Column) -> Column:
+        part, word, rest = e["part"], e["word"], e["rest"]
+        opened = (word != "") & rest.startswith('"')
+        inner = F.substring(rest, F.lit(2), F.length(rest))
+        quoted = opened & inner.contains('"')
+        equals = part.contains("=") & ~opened
         key = (
             F.when(equals, F.trim(F.substring_index(part, "=", 1)))
-            .when(quoted, F.regexp_extract(part, r'^(\S+)\s+"([^"]*)"', 1))
-            .otherwise(F.regexp_extract(part, r"^(\S+)\s+(\S+)", 1))
+            .when(rest != "", word)
+            .otherwise(F.lit(""))
         )
         value = (
-            F.when(equals, F.trim(F.regexp_replace(part, "^[^=]*=", "")))
-            .when(quoted, F.regexp_extract(part, r'^(\S+)\s+"([^"]*)"', 2))
-            .otherwise(F.btrim(F.regexp_extract(part, r"^(\S+)\s+(\S+)", 2), F.lit('"')))
+            F.when(equals, F.trim(F.substring(part, F.instr(part, "=") + 1, F.length(part))))
+            .when(quoted, F.substring_index(inner, '"', 1))
+            .otherwise(F.btrim(_first_word(rest), F.lit('"')))
         )
         return F.struct(key.alias("key"), value.alias("value"))
 
-    pairs = F.filter(F.transform(parts, entry), lambda e: e["key"] != "")
-    # map_from_entries rejects repeated keys, so earlier occurrences are dropped first
-    last = F.filter(
-        F.transform(pairs, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i"))),
-        lambda e: ~F.exists(
-            F.slice(pairs, e["i"] + 2, F.size(pairs)), lambda later: later["key"] == e["key"]
-        ),
-    )
-    return F.map_from_entries(
-        F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    )
+    pairs = F.filter(F.transform(named, entry), lambda e: e["key"] != "")
+
+    def as_map(ps: Column) -> Column:
+        # map_from_entries rejects repeated keys, so earlier occurrences are dropped first
+        last = F.filter(
+            ps, lambda e, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda later: later["key"] == e["key"])
+        )
+        once = F.size(F.array_distinct(F.transform(ps, lambda e: e["key"]))) == F.size(ps)
+        return F.when(once, F.map_from_entries(ps)).otherwise(F.map_from_entries(last))
+
+    # a list of one, so that the entries are made once and have a name
+    return F.get(F.transform(F.array(pairs), as_map), F.lit(0))
 
 
 def coverage_value(attrs: Column) -> Column:
