@@ -75,3 +75,13 @@ def test_rows_grow_with_reads_and_sites(spark, crowd):
     rows = profile.block_rows(sites, X.usable_reads(crowd, cfg), cfg, ())
     assert rows.where(f"kind = {profile.PLACE}").count() == 6000
     assert rows.where(f"kind = {profile.READ}").count() < 3 * crowd.count() < X.site_read_overlap(sites, X.read_spans(crowd, cfg), cfg).count() / 5
+
+
+def test_rows_carry_only_what_the_parts_need(spark, crowd):
+    cfg = X.FeatureConfig()
+    sites = spark.createDataFrame([("chr1", 4090, "+")], "chrom string, position long, strand string")
+    parsed = X.usable_reads(crowd, cfg)
+    own = {"clips": {"cs", "ce"}, "bias": {"flags"}, "mapq": {"q1", "q2"}, "splice": {"x"}, "flanks": set(), "starts": set()}
+    for part, columns in own.items():
+        given = set(profile.block_rows(sites, parsed, cfg, (part,)).columns)
+        assert given == {"chrom", "block", "kind", "a", "b", "st", "n", "strand"} | columns
