@@ -35,3 +35,32 @@ def test_ends_take_the_best_probabilities_of_a_coordinate(spark):
     assert [(r.probability_tss, r.probability_tes) for r in got.values()] == [(0.7, 0.5), (0.9, 0.3)]
     assert {(r.total_reads_tss, r.total_reads_tes, r.transcript_length) for r in got.values()} == {(3, 4, 85)}
     assert not any(c.startswith("p_site") for c in M.feature_names(jobs.transcript_rows(ends, "rf")))
+
+
+def test_places_weigh_as_much_as_their_copies(spark):
+    """A packed row with a number of copies stands for as many equal rows, in models and in measures."""
+    names = ["a", "b"]
+    rows = spark.range(240).selectExpr("double(id % 7) as a", "double(id % 5) as b", "int(id % 7 > 3) as label", "id % 4 + 1 as n")
+    repeated = rows.selectExpr("a", "b", "label", "explode(sequence(1L, n)) as i").drop("i")
+    params = {"maxIter": 3, "maxDepth": 2, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+    one = M.fit(M.packed(rows, names, ["label", "n"]), names, kind="xgb", params=params, copies="n")
+    all_rows = M.fit(repeated, names, kind="xgb", params=params)
+    once = one.score(M.packed(rows, names, ["label", "n"]), "p", ["label", "n"], names).selectExpr("*", "1 as g")
+    every = all_rows.score(repeated, "p", ["label"]).selectExpr("*", "1 as g")
+    got, expected = M.validation_metrics(once, "p", ["g"], copies="n").first(), M.validation_metrics(every, "p", ["g"]).first()
+    assert got.n_items == 600 and got == expected
+    # by name, whatever the order in which rows are packed
+    turned = one.score(M.packed(rows, ["b", "x", "a"], ["n"]), "q", ["n"], ["b", "x", "a"])
+    assert turned.agg({"q": "sum"}).first() == once.agg({"p": "sum"}).first()
+
+
+def test_sites_of_a_place_are_scored_once_and_all_returned(spark):
+    sites = spark.createDataFrame(
+        [("a", "TSS", "chr1", 5, "+"), ("b", "TSS", "chr1", 5, "+"), ("a", "TES", "chr1", 5, "+"), ("c", "TSS", None, None, "+")],
+        "transcript_id string, site_type string, chrom string, position long, strand string",
+    )
+    places = jobs.site_places(sites)
+    assert sorted((r.site_type, r.position or 0, r.n) for r in places.collect()) == [("TES", 5, 1), ("TSS", 0, 1), ("TSS", 5, 2)]
+    scores = places.selectExpr("site_type", "chrom", "position", "strand", "n / 4 as p_site_rf", "n / 2 as p_site_xgb")
+    got = sorted((r.transcript_id, r.site_type, r.p_site_rf) for r in jobs.scored_sites(sites, scores).collect())
+    assert got == [("a", "TES", 0.25), ("a", "TSS", 0.5), ("b", "TSS", 0.5), ("c", "TSS", 0.25)]
