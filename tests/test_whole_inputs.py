@@ -67,3 +67,18 @@ def test_bad_numbers_in_alignments_are_null(spark):
     text = "r\tx\tchr1\tfour\t60\t4M\t*\t0\t0\tACGT\tIIII"
     row = parse_sam(spark.createDataFrame([(text,)], "value string")).first()
     assert row["ref_start"] is None and row["is_unmapped"] is None and row["mapq"] == 60
+
+
+def test_the_ranker_query_trains_the_whole_ranker(spark, monkeypatch):
+    from endsight.operators import models
+    from endsight.plans import catalog_more
+
+    seen = []
+
+    def fit(train, features, *, kind, params=None, **rest):
+        seen.append((kind, models.RANKER | (params or {})))
+        return models.Classifier(list(features), None, 0.0)
+
+    monkeypatch.setattr(models, "fit", fit)
+    catalog_more.mlo_03(spark, "/root/testdata/sf0.001")
+    assert seen == [("ranker", models.RANKER)] and seen[0][1]["maxIter"] == 300
