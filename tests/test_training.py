@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from endsight.operators import models as M
+from endsight.operators import transcripts
 from endsight.plans import jobs
 
 
@@ -64,3 +65,14 @@ def test_sites_of_a_place_are_scored_once_and_all_returned(spark):
     scores = places.selectExpr("site_type", "chrom", "position", "strand", "n / 4 as p_site_rf", "n / 2 as p_site_xgb")
     got = sorted((r.transcript_id, r.site_type, r.p_site_rf) for r in jobs.scored_sites(sites, scores).collect())
     assert got == [("a", "TES", 0.25), ("a", "TSS", 0.5), ("b", "TSS", 0.5), ("c", "TSS", 0.25)]
+
+
+def test_exons_are_summed_once_for_all_assemblies(spark):
+    tx = spark.createDataFrame(
+        [("x", "t", "chr1", "+", 10, 90, 1.0), ("y", "t", "chr1", "-", 20, 80, 2.0), ("y", "u", "chr1", "+", 5, 9, 3.0)],
+        "assembly_id string, transcript_id string, chrom string, strand string, start long, end long, coverage double",
+    )
+    exons = spark.createDataFrame([("t", 10, 19), ("t", 50, 90)], "transcript_id string, start long, end long")
+    rows = transcripts.coverage_table(tx, exons, keep=["assembly_id"]).collect()
+    got = {(r.assembly_id, r.transcript_id): (r.tss_pos, r.first_exon_length, r.last_exon_length, r.exon_count, r.coverage) for r in rows}
+    assert got == {("x", "t"): (11, 10, 41, 2, 1.0), ("y", "t"): (80, 41, 10, 2, 2.0), ("y", "u"): (6, 0, 0, 0, 3.0)}
