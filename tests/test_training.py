@@ -76,3 +76,25 @@ def test_exons_are_summed_once_for_all_assemblies(spark):
     rows = transcripts.coverage_table(tx, exons, keep=["assembly_id"]).collect()
     got = {(r.assembly_id, r.transcript_id): (r.tss_pos, r.first_exon_length, r.last_exon_length, r.exon_count, r.coverage) for r in rows}
     assert got == {("x", "t"): (11, 10, 41, 2, 1.0), ("y", "t"): (80, 41, 10, 2, 2.0), ("y", "u"): (6, 0, 0, 0, 3.0)}
+
+
+def test_places_are_predicted_once_for_all_transcripts(spark, monkeypatch):
+    tx = spark.createDataFrame(
+        [("t", "chr1", "+", 4, 90, 2.0), ("u", "chr1", "+", 4, 90, 9.0)], "transcript_id string, chrom string, strand string, start long, end long, coverage double"
+    )
+    cov = transcripts.coverage_table(tx, spark.createDataFrame([("t", 5, 9)], "transcript_id string, start long, end long"))
+    packed = spark.createDataFrame(
+        [("TSS", "chr1", 5, "+", 2, [1.0, 3.0]), ("TES", "chr1", 90, "+", 2, [0.0, 4.0])],
+        f"site_type string, chrom string, position long, strand string, n long, {M.PACKED} array<double>",
+    )
+    monkeypatch.setattr(jobs, "known_places", lambda *_: (packed, ["a", "b"]))
+    learn = spark.range(40).selectExpr("double(id % 2) as a", "int(id % 2) as label", "double(id % 2) * 10 as coverage", "double(id % 2) as b_tes")
+    params = {"maxIter": 1, "maxDepth": 1, "minInstancesPerNode": 1}
+    site = M.fit(learn, ["a"], kind="xgb", params=params)
+    ranker = M.fit(learn, ["coverage"], kind="ranker", params=params)
+    models = jobs.Models({(t, b): site for t in ("TSS", "TES") for b in jobs.BACKENDS}, {b: ranker for b in jobs.BACKENDS})
+    scored, ranked = jobs.predict(tx, cov, None, models, jobs.JobConfig())
+    sites = {(r.transcript_id, r.site_type): r.p_site_rf for r in scored.collect()}
+    assert len(sites) == 4 and sites["t", "TSS"] == sites["u", "TSS"] > 0.5 > sites["t", "TES"] == sites["u", "TES"]
+    got = {(r.transcript_id, r.backend): r.pred_label for r in ranked.collect()}
+    assert got == {("t", "rf"): 0, ("t", "xgb"): 0, ("u", "rf"): 1, ("u", "xgb"): 1}
